@@ -13,5 +13,31 @@ FROM n
 """
 
 
+OP9 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bs AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS span
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - least(len(w), 13) + 1)) AS s FROM bw WHERE len(w) > 0)
+), ds AS (
+  SELECT doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') AS span
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM dw, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, s, n, span FROM ds WHERE span IN (SELECT span FROM bs)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed
+  FROM (SELECT DISTINCT h.doc_id, bs.item_id::varchar AS i FROM hits h JOIN bs USING (span)) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5}
+    return {"op5_exact_dedup": OP5, "op9_decontamination": OP9}

@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import exact_dedup
+from evenkeel.llm import bpe, decontaminate, exact_dedup, token_histogram
 from evenkeel.sources.tables import table
 
 
+def ranks() -> dict[bytes, int]:
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_histogram.suffix_sums(token_histogram.histogram(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op3_token_counts": op3_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
+        "op9_decontamination": op9_decontamination,
     }
