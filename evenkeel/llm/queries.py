@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, exact_dedup, token_histogram
+from evenkeel.llm import bpe, decontaminate, exact_dedup, language_id, token_histogram, toxicity
+from evenkeel.llm.sample import remainder
 from evenkeel.sources.tables import table
 
 
@@ -31,10 +33,32 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def held_out(of: int, is_: int):
+    return F.coalesce(remainder(F.col("doc_id"), of) == is_, F.lit(False)).alias("held_out")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learned(docs, remainder(F.col("doc_id"), 3) != 1)
+    return language_id.predict(docs, model).select("doc_id", held_out(3, 1), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.learned(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", held_out(5, 0), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
+        "op10_toxicity": op10_toxicity,
     }
