@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, exact_dedup, language_id, token_histogram, toxicity
+from evenkeel.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, token_histogram, toxicity
 from evenkeel.llm.sample import remainder
 from evenkeel.sources.tables import table
 
@@ -33,6 +33,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def held_out(of: int, is_: int):
     return F.coalesce(remainder(F.col("doc_id"), of) == is_, F.lit(False)).alias("held_out")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
