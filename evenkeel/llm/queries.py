@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, token_histogram, toxicity
+from evenkeel.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, quality_crf, token_histogram, toxicity
 from evenkeel.llm.sample import remainder
 from evenkeel.sources.tables import table
 
@@ -41,6 +41,13 @@ def held_out(of: int, is_: int):
     return F.coalesce(remainder(F.col("doc_id"), of) == is_, F.lit(False)).alias("held_out")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.learned(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    scored = quality_crf.scores(docs, model)
+    return scored.select("doc_id", held_out(3, 1), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learned(docs, remainder(F.col("doc_id"), 3) != 1)
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_quality": op7_quality,
         "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
