@@ -30,9 +30,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 1000, hot_share: float = 1e-4) -> DataFrame:
-    """A row per input row: ``id_col``, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
+def _sorted(docs: DataFrame, id_col: str, text_col: str, hot_rows: int, hot_share: float, carried: list[str]) -> DataFrame:
+    """A row per input row: _id, _kept, _keep_id, _total, _sha, and the columns ``carried`` as _row."""
+    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"), *([F.struct(*carried).alias("_row")] if carried else []))
+    more = ["_row"] if carried else []
     rows = rows.withColumn("_hash", F.xxhash64("_norm"))
     hot_rows = max(hot_rows, int(docs.count() * hot_share))
     hot = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
@@ -43,6 +44,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_
         F.when(F.col("_salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("_id", F.lit(17)), F.col("_salts"))).cast("int").alias("_salt"),
         "_norm",
         "_id",
+        *more,
     )
     run = Window.partitionBy("_start", "_hash", "_salt", "_norm")
     ordered = run.orderBy(F.col("_id").asc_nulls_last())
@@ -53,6 +55,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_
         F.first("_id").over(ordered).alias("_first"),
         F.count(F.lit(1)).over(run).alias("_size"),
         F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"),
+        *more,
     )
     runs = materialise(runs)
     heads = runs.filter((F.col("_salt") >= 0) & (F.col("_rank") == 1)).groupBy("_sha").agg(
@@ -63,15 +66,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_
     out = runs.join(F.broadcast(heads), "_sha", "left")
     is_hot = F.col("_salt") >= 0
     return out.select(
-        F.col("_id").alias(id_col),
-        F.when(is_hot, F.col("_head.id")).otherwise(F.col("_first")).alias("keep_id"),
-        F.when(is_hot, F.col("_total")).otherwise(F.col("_size")).cast("long").alias("group_size"),
-        ((F.col("_rank") == 1) & (~is_hot | (F.col("_salt") == F.col("_head.salt")))).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+        "_id",
+        F.when(is_hot, F.col("_head.id")).otherwise(F.col("_first")).alias("_keep_id"),
+        F.when(is_hot, F.col("_total")).otherwise(F.col("_size")).cast("long").alias("_total"),
+        ((F.col("_rank") == 1) & (~is_hot | (F.col("_salt") == F.col("_head.salt")))).alias("_kept"),
+        "_sha",
+        *more,
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids are taken to be unique."""
-    kept = groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 1000, hot_share: float = 1e-4) -> DataFrame:
+    """A row per input row: ``id_col``, keep_id, group_size, kept, text_sha256."""
+    out = _sorted(docs, id_col, text_col, hot_rows, hot_share, [])
+    return out.select(F.col("_id").alias(id_col), F.col("_keep_id").alias("keep_id"), F.col("_total").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 1000, hot_share: float = 1e-4) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all their columns; these go through the sort."""
+    return _sorted(docs, id_col, text_col, hot_rows, hot_share, docs.columns).filter("_kept").select("_row.*")

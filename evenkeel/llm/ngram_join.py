@@ -259,5 +259,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, with all their columns."""
-    gone = classes(docs, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = classes(docs, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id"))
+    gone = materialise(gone.select(F.col(id_col).alias("_gone")).distinct())
+    return docs.join(_small(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")
