@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, quality_crf, token_histogram, toxicity
+from evenkeel.llm import bpe, decontaminate, exact_dedup, html_text, language_id, ngram_join, quality_crf, token_histogram, toxicity
 from evenkeel.llm.sample import remainder
 from evenkeel.sources.tables import table
 
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.suffix_sums(token_histogram.histogram(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_token_counts": op3_token_counts,
+        "op4_html_text": op4_html_text,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_quality": op7_quality,
