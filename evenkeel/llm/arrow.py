@@ -23,11 +23,12 @@ def text_array(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive slices of about ``most`` bytes of text, at least one row each."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, raw: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive slices of about ``most`` bytes of text (``raw``: a column with 64-bit offsets), at least one row each."""
     if batch.num_rows == 0:
         return
-    at = np.concatenate([[0], np.cumsum(lengths(text_array(batch.column(text))))])
+    column = batch.column(text) if raw else text_array(batch.column(text))
+    at = np.concatenate([[0], np.cumsum(lengths(column))])
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)

@@ -60,5 +60,29 @@ GROUP BY d.doc_id, n.n
 """
 
 
+OP2 = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM t WHERE length(h) >= 200)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS r FROM w) WHERE r > 1
+), edges AS (
+  SELECT doc_id, s, CASE WHEN s <= max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM later
+), spans AS (
+  SELECT doc_id, k, min(s) AS a, max(s) + 100 AS z FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edges) GROUP BY 1, 2
+), gaps AS (
+  SELECT doc_id, k, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS p, a FROM spans
+  UNION ALL SELECT doc_id, max(k) + 1, max(z), NULL FROM spans GROUP BY 1
+), kept AS (
+  SELECT t.doc_id, string_agg(substr(h, (2 * p + 1)::bigint, (2 * (coalesce(a, length(h) // 2) - p))::bigint), '' ORDER BY k) AS h FROM gaps g JOIN t ON t.doc_id = g.doc_id GROUP BY 1
+), sums AS (
+  SELECT doc_id, sum(z - a) AS n, count(*) AS c FROM spans GROUP BY 1
+)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(n, 0)::bigint AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN sums ON sums.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_ngram_jaccard": OP6, "op9_decontamination": OP9}
+    return {"op2_suffix_dedup": OP2, "op5_exact_dedup": OP5, "op6_ngram_jaccard": OP6, "op9_decontamination": OP9}

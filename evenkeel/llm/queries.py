@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, exact_dedup, html_text, language_id, ngram_join, quality_crf, token_histogram, toxicity
+from evenkeel.llm import bpe, decontaminate, exact_dedup, html_text, language_id, ngram_join, quality_crf, suffix_dedup, token_histogram, toxicity
 from evenkeel.llm.sample import remainder
 from evenkeel.sources.tables import table
 
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.suffix_sums(token_histogram.histogram(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
 
@@ -71,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_html_text": op4_html_text,
         "op5_exact_dedup": op5_exact_dedup,
