@@ -1,9 +1,13 @@
 """Registered queries and their DuckDB counterparts."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from evenkeel.plans.queries import ORACLES, QUERIES
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
