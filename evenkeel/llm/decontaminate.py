@@ -31,7 +31,6 @@ WINDOW, GRAM = 13, 6
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -41,12 +40,13 @@ def words(text: Column) -> Column:
 
 
 def _zipped(df: DataFrame, out: str, a: str, b: str, shift: int, length: Column, join) -> DataFrame:
-    """``out[i] = join(a[i], b[i + shift])`` for ``length`` values of i."""
+    """``out[i] = join(a[i], b[i + shift])`` for ``length`` values of i (none if that is negative)."""
+    length = F.greatest(F.lit(0), length)
     return df.withColumn(out, F.zip_with(F.slice(a, 1, length), F.slice(b, shift + 1, length), join))
 
 
 def winnowed(df: DataFrame) -> DataFrame:
-    """``df`` (with ``words``, at least WINDOW of them) with ``picked``: the fingerprint of each window."""
+    """``df`` (with ``words``) with ``picked``: the fingerprint of each window."""
     n = F.size("words")
     both = lambda a, b: F.xxhash64(a, b)
     low = lambda a, b: F.least(a, b)
@@ -77,8 +77,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("text"))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row per document: ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """As ``report``, with _text_hash."""
     items = benchmark.select(F.col(item_col).alias("_item"), words(F.coalesce(F.col(item_text_col), F.lit(""))).alias("words")).filter(F.size("words") > 0)
     whole = F.size("words") < WINDOW
     long_spans = windows(winnowed(items.filter(~whole)), WINDOW, "_item")
@@ -94,11 +94,14 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     keyed = _keyed(docs, id_col, text_col)
     cut = keyed.select("_id", "_text_hash", words(F.col("text")).alias("words"))
-    prints = spans.filter(F.col("length") == WINDOW).select("print").distinct()
-    picked = winnowed(cut.filter(F.size("words") >= WINDOW)).select("_id", "_text_hash", F.explode(F.array_distinct("picked")).alias("print"))
-    found = materialise(picked.join(_small(prints, n_spans), "print", "left_semi").select("_id", "_text_hash").distinct())
+    # One pass over the texts: each row's number of words, and whether it has a common fingerprint.
+    prints = spans.filter(F.col("length") == WINDOW).select("print", F.lit(1).alias("_in")).distinct()
+    counted = cut.select("*", F.monotonically_increasing_id().alias("_row"))
+    picked = winnowed(counted).select("_row", "_id", "_text_hash", F.size("words").alias("n_words"), F.explode_outer(F.array_distinct("picked")).alias("print"))
+    picked = picked.join(_small(prints, n_spans), "print", "left")
+    base = materialise(picked.groupBy("_row", "_id", "_text_hash", "n_words").agg(F.max("_in").alias("_in")))
+    found = base.filter("_in = 1").select(F.col("_id").alias("_found"), F.col("_text_hash").alias("_found_hash")).distinct()
     n_found = found.count()
-    found = found.withColumnsRenamed({"_id": "_found", "_text_hash": "_found_hash"})
     same = keyed["_id"].eqNullSafe(found["_found"]) & (keyed["_text_hash"] == found["_found_hash"])
     candidates = keyed.join(_small(found, n_found), same, "left_semi").select("_id", "_text_hash", words(F.col("text")).alias("words")).filter(F.size("words") >= WINDOW)
     key = ["_id", "_text_hash"]
@@ -120,13 +123,13 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     summary = covered.join(listed, covered["_id"].eqNullSafe(listed["_i"]) & (covered["_text_hash"] == listed["_h"]), "left").select(
         F.col("_id").alias("_i2"), F.col("_text_hash").alias("_h2"), "n_hit", "_items"
     )
-    base = keyed.select("_id", "_text_hash", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     out = base.join(summary, base["_id"].eqNullSafe(summary["_i2"]) & (base["_text_hash"] == summary["_h2"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed_items = F.coalesce("_items", F.array().cast("array<string>"))
     return out.select(
         F.col("_id").alias(id_col),
-        "n_words",
+        "_text_hash",
+        F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(listed_items).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed_items, ",").cast("binary"), 256).alias("items_sha256"),
@@ -134,7 +137,14 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+    """A row per document: ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _report(docs, benchmark, id_col, text_col, **columns).drop("_text_hash")
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns; ids are taken to be unique."""
-    bad = report(docs, benchmark, id_col, text_col, **columns).filter("contaminated").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    bad = _report(docs, benchmark, id_col, text_col, **columns).filter("contaminated")
+    bad = materialise(bad.select(F.col(id_col).alias("_bad"), F.col("_text_hash").alias("_bad_hash")).distinct())
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(_small(bad, bad.count()), docs[id_col].eqNullSafe(bad["_bad"]) & (text_hash == bad["_bad_hash"]), "left_anti")
