@@ -10,9 +10,10 @@ The order of n-grams is that of their 64-bit hashes; fragments are ranges of it.
    documents share come last. Of the sets that share a fragment, each is paired with the smallest id.
 3. Overlaps. The sets of a pair are cut into ``PARTS`` ranges, the common n-grams of each range are
    counted separately, and the counts summed by pair.
-4. Pairs of sets that share a fragment, but weren't both linked to its smallest id, are then counted
-   in the same way, unless they are in one component already, or their sizes or (the Jaccard distance
-   is a metric) their distances from that id rule a link out.
+4. Sets that were paired with the same id (the hub), but not both linked to it, remain: those that
+   aren't linked to the hub are held against all its others, in blocks of bounded size; a block gives
+   the common n-grams of all its pairs at once, and only pairs that are linked, and not in one
+   component already, leave it.
 
 So no pair of different components that could be linked is missed, while a group of m copies costs m
 pairs. Counts of n-grams are kept in a table of fixed size (``CELLS``); several n-grams may share a
@@ -42,8 +43,8 @@ CELLS, CHUNKS = 1 << 21, 64
 PARTS = 8
 #: A side of a join is broadcast up to so many rows (some tens of MB), counted before; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
-#: Pairs of one id that a task works on.
-PAIRS_A_TASK = 2000
+#: Pairs of one id that a task works on; sets and elements of a side of a block; elements looked at together.
+PAIRS_A_TASK, BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 2000, 1000, 1_000_000, 4096
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -160,15 +161,103 @@ def candidates(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Dat
     return rows.filter("hub <> doc_id").select("hub", F.col("doc_id").alias("member")).distinct()
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, k: int) -> DataFrame:
-    """hub, member, n_hub, n_member, overlap of each pair in ``pairs`` (hub, member)."""
+def _dealt(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """text, hub, salt, role, id: of each pair the member (role 1), and the hub (role 0) once for each salt of its members."""
     bounded_batches(docs.sparkSession)
     salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("salts"))
     dealt = pairs.join(salts, "hub").select("hub", F.col("member").alias("id"), F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     hubs = salts.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = materialise(dealt.unionByName(hubs))
-    n_wanted = wanted.count()
-    rows = docs.join(_small(wanted, n_wanted), docs["doc_id"] == wanted["id"]).select("text", "hub", "salt", "role", "id")
+    wanted = dealt.unionByName(hubs)
+    wanted = _small(wanted, 2 * n_pairs)  # a hub has as many members as salts, at least
+    return docs.join(wanted, docs["doc_id"] == wanted["id"]).select("text", "hub", "salt", "role", "id")
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray], same: np.ndarray) -> np.ndarray:
+    """The number of common elements of each set in ``a`` with each in ``b``; ``same``: which of ``b`` a set in ``a`` is (-1: none)."""
+    total = np.zeros((len(a), len(b)), np.float32)
+    of_a, of_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    in_a, in_b = np.concatenate(a), np.concatenate(b)
+    every, at = np.unique(np.concatenate([in_a, in_b]), return_inverse=True)
+    at_a, at_b = at[: len(in_a)], at[len(in_a) :]
+    n_a, n_b = np.bincount(at_a, minlength=len(every)), np.bincount(at_b, minlength=len(every))
+    # An element that one set alone has on either side counts if these are two sets.
+    whose = np.full(len(every), -2)
+    whose[at_b] = of_b
+    alone = np.zeros(len(every), bool)
+    alone[at_a] = whose[at_a] == same[of_a]
+    used = np.flatnonzero((n_a > 0) & (n_b > 0) & ~(alone & (n_a == 1) & (n_b == 1)))
+    column = np.full(len(every), -1)
+    column[used] = np.arange(len(used))
+    at_a, at_b = column[at_a], column[at_b]
+    for start in range(0, len(used), COLUMNS):
+        x, y = (np.zeros((len(s), COLUMNS), np.float32) for s in (a, b))
+        for m, at, of in ((x, at_a, of_a), (y, at_b, of_b)):
+            own = (at >= start) & (at < start + COLUMNS)
+            m[of[own], at[own] - start] = 1
+        total += x @ y.T
+    return total
+
+
+def across(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """u, v: the links between members of a hub of different components, one of which isn't linked to the hub.
+
+    ``members``: hub, member, n, linked, component.
+    """
+    bounded_batches(docs.sparkSession)
+    size = members.groupBy("hub").agg(
+        *(F.greatest(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_ELEMENTS), F.ceil(F.count_if(c) / BLOCK_SETS)).cast("int").alias(o) for c, o in ((~F.col("linked"), "left"), (F.lit(True), "right")))
+    )
+    placed = members.join(size.filter("left > 0"), "hub")
+    deal = lambda n: F.pmod(F.xxhash64("member", F.lit(5)), n).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = placed.filter(~F.col("linked")).select("hub", "member", "component", F.lit(0).alias("role"), deal("left").alias("i"), span("right").alias("j"))
+    rights = placed.select("hub", "member", "component", F.lit(1).alias("role"), deal("right").alias("j"), span("left").alias("i"))
+    wanted = materialise(lefts.unionByName(rights))
+    wanted_n = wanted.count()
+    rows = docs.join(_small(wanted, wanted_n), docs["doc_id"] == wanted["member"]).select("text", "hub", "i", "j", "role", "member", "component")
+    names = ["hub", "i", "j", "role", "member", "component"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, most=shingles.SLICE_BYTES):
+                raw = [s.tobytes() for s in shingles.sets(text_array(b.column("text")), k)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "elements"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            (ids_a, comp_a, a), (ids_b, comp_b, b) = sides
+            out: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
+            if a and b:
+                ia, ib = np.array(ids_a), np.array(ids_b)
+                where = {x: n for n, x in enumerate(ids_b)}
+                both = common(a, b, np.array([where.get(x, -1) for x in ids_a])).astype(np.int64)
+                total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
+                link = (100 * both >= percent * (total - both)) & (np.array(comp_a)[:, None] != np.array(comp_b)) & (ia[:, None] != ib)
+                x, y = np.nonzero(link)
+                out = [np.minimum(ia[x], ib[y]), np.maximum(ia[x], ib[y])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["u", "v"])
+
+        sides: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+        at = None
+        for b in batches:
+            for hub, i, j, role, member, component, raw in zip(*(b.column(c).to_pylist() for c in [*names, "elements"])):
+                if (hub, i, j) != at:
+                    if at is not None:
+                        yield block()
+                    at, sides = (hub, i, j), [([], [], []), ([], [], [])]
+                for held, x in zip(sides[role], (member, component, np.frombuffer(raw, np.uint64))):
+                    held.append(x)
+        if at is not None:
+            yield block()
+
+    order = ["hub", "i", "j"]
+    parts = rows.mapInArrow(cut, "hub long, i int, j int, role int, member long, component long, elements binary")
+    return parts.repartition(*order).sortWithinPartitions(*order).mapInArrow(judge, "u long, v long").distinct()
+
+
+def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, k: int) -> DataFrame:
+    """hub, member, n_hub, n_member, overlap of each pair in ``pairs`` (hub, member)."""
+    rows = _dealt(docs, pairs, n_pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.uint64(64 - PARTS.bit_length() + 1)
@@ -237,21 +326,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     links = counted.filter("linked").select(F.col("hub").alias("u"), F.col("member").alias("v"))
 
     # 4.
-    members = counted.select("hub", "member", F.col("n_member").alias("n"), "linked", (F.col("overlap") / (F.col("n_hub") + F.col("n_member") - F.col("overlap"))).alias("similar"))
+    members = counted.select("hub", "member", F.col("n_member").alias("n"), "linked")
     outside = members.filter(~F.col("linked"))
     if not outside.isEmpty():
         found = components(links)
-        inner = members.join(found, members["member"] == found["node"], "left").select("hub", "member", "n", "similar", "linked", F.coalesce("component", "member").alias("component"))
-        inner = materialise(inner)
-        a, b = inner.filter(~F.col("linked")).alias("a"), inner.alias("b")
-        near = (F.abs(F.col("a.similar") - F.col("b.similar")) <= 1 - percent / 100 + 1e-9) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        more = a.join(b, "hub").filter((F.col("a.component") != F.col("b.component")) & (F.col("a.member") != F.col("b.member")) & near)
-        more = more.select(F.least("a.member", "b.member").alias("hub"), F.greatest("a.member", "b.member").alias("member")).distinct()
-        more = materialise(more)
-        n_more = more.count()
-        if n_more:
-            again = overlaps(ids, more, n_more, k).filter(linked)
-            links = links.unionByName(again.select(F.col("hub").alias("u"), F.col("member").alias("v")))
+        inner = members.join(found, members["member"] == found["node"], "left")
+        inner = materialise(inner.select("hub", "member", "n", "linked", F.coalesce("component", "member").alias("component")))
+        links = links.unionByName(across(ids, inner, k, percent))
     found = components(links.unionByName(copies))
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").cast(kind).alias("component_id"))
