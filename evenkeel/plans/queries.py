@@ -6,6 +6,8 @@ flags by event type) and from ``lineitem`` (conversations of supplier and part).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from evenkeel.functions.values import CONVERSATION, FLOW, Field, ValueSpec, coun
 from evenkeel.operators import aggregate, shape
 from evenkeel.operators.histogram import Histogram
 from evenkeel.operators.sharded import ShardedHistogram
+from evenkeel.sources.scratch import shared_folder
 from evenkeel.sources.tables import table
 from evenkeel.sources.workload import replayed
+from evenkeel.streaming import runner
 
 #: Public parameters of the registered histograms.
 CAPACITY, Z, STASH, SHARDS, LOCAL_HEIGHT = 16_384, 16, 64, 4, 7
@@ -29,9 +33,13 @@ MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """key and the fields of a flow record, one row per event."""
+    return flow_columns(table(spark, sf, "events"))
+
+
+def flow_columns(rows: DataFrame) -> DataFrame:
     flag = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(n)) for t, n in FLAGS.items()), F.lit(0))
     time = F.expr(MICROS.format("ts"))
-    return table(spark, sf, "events").select(
+    return rows.select(
         F.col("user_id").cast("string").cast("binary").alias("key"),
         F.lit(1).cast("bigint").alias("packet_count"),
         F.round(F.col("value") * 100).cast("bigint").alias("byte_sum"),
@@ -147,9 +155,7 @@ def batched_merge(spark, sf):
     h = Histogram(spark, CAPACITY, FLOW, Z, STASH, secret=SECRET)
     for b in range(3):
         part = rows.filter(F.col("b") == b)
-        flag = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(n)) for t, n in FLAGS.items()), F.lit(0))
-        time = F.expr(MICROS.format("ts"))
-        h.append(part.select(F.col("user_id").cast("string").alias("key"), F.lit(1).cast("bigint").alias("packet_count"), F.round(F.col("value") * 100).cast("bigint").alias("byte_sum"), time.alias("first_seen"), time.alias("last_seen"), F.lit(1).cast("bigint").alias("record_count"), flag.alias("tcp_flags")))
+        h.append(flow_columns(part))
         h.commit()
     return shown(h.commit(), "key", *FIELDS)
 
@@ -335,6 +341,47 @@ def compaction_marks(spark, sf):
     return shape.prefix_marks(rows, F.col("big"), [F.col("slot")])
 
 
+SIGNED = "CASE WHEN o_orderkey % 2 = 1 THEN -o_orderkey ELSE o_orderkey END"
+
+
+@query(f"SELECT o_orderkey, t, row_number() OVER (ORDER BY t < 0, t) - 1 AS slot FROM (SELECT o_orderkey, {SIGNED} AS t FROM orders)")
+def unsigned_order(spark, sf):
+    """Bit patterns in the order of the unsigned numbers that they are."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.expr(SIGNED).alias("t"))
+    return shape.ranks(rows, [keys.unsigned_order(F.col("t"))])
+
+
+@query("SELECT user_id, n, 2 * (row_number() OVER (ORDER BY user_id) - 1) + 1 AS slot FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def distribute_slots(spark, sf):
+    """The inverse of compaction: the rank-th row goes to the slot that a table gives for it."""
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = shape.ranks(rows, [F.col("user_id")], "rank")
+    slots = spark.range(rows.count()).select(F.col("id").alias("rank"), (2 * F.col("id") + 1).alias("slot"))
+    return shape.distributed(ranked, slots)
+
+
+@query(f"SELECT key, {VALUES}, 1 AS epoch FROM ({FLOWS}) WHERE packet_count > 0")
+def grown_epoch_merge(spark, sf):
+    """Half the stream before growing and half after: a key has its earliest epoch."""
+    h = Histogram(spark, CAPACITY, FLOW, Z, STASH, secret=SECRET, epoch=1)
+    h.append(events(spark, sf))
+    h.grow()
+    h.append(events(spark, sf).filter("false"))
+    return shown(h.commit(), "key", *FIELDS, "epoch").withColumn("epoch", F.col("epoch").cast("int"))
+
+
+@query(FLOWS)
+def streamed_flow_record(spark, sf):
+    """``events`` as a stream, merged batch by batch into versions of a state."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    # A pattern, as the table may be one file or a folder of files.
+    stream = flow_columns(spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/events.parque[t]"))
+    state = runner.StateTable(spark, f"{folder}/state")
+    runner.run(stream, FLOW, state, f"{folder}/checkpoint").awaitTermination()
+    return shown(state.read(), "key", *FIELDS)
+
+
 @query(f"SELECT * FROM ({CONVERSATIONS}) ORDER BY frames DESC, l_suppkey, l_partkey LIMIT 10")
 def topk_flows(spark, sf):
     return shape.topk(_conversations(conversations(spark, sf)), "frames", ["l_suppkey", "l_partkey"])
