@@ -28,7 +28,8 @@ LENGTH = sizing.readout_len(HEIGHT, Z, STASH)
 SECRET = bytes(range(16))
 #: Flag of each event type.
 FLAGS = {"view": 1, "click": 2, "purchase": 4, "signup": 8, "error": 16}
-MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
+#: Microseconds since 1970 of a time without zone, whatever the session's zone.
+MICROS = "unix_date(cast({0} as date)) * 86400000000L + hour({0}) * 3600000000L + minute({0}) * 60000000L + cast(extract(SECOND FROM {0}) * 1000000 as bigint)"
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
