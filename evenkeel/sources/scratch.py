@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.evenkeel.scratch", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="evenkeel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.evenkeel.scratch", folder)
     return folder
 
