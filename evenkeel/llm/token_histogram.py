@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import bpe
+from evenkeel.sources.scratch import materialise
 
 BLOCK = 1024
 
@@ -31,6 +32,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_at_least and tokens_at_least count the documents of that length or more and their tokens;
     truncated_total is the sum over all documents of min(their length, this length).
     """
+    hist = materialise(hist)  # it is read twice
     rows = hist.withColumn("_block", F.floor(F.col("length") / BLOCK))
     sums = rows.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("length")).alias("_t"))
     later = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
