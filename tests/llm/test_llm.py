@@ -427,3 +427,12 @@ def test_pipeline_against_brute_force(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, folder)
         assert stage.columns == docs.columns
+
+
+def test_bytes_that_are_not_utf8():
+    from evenkeel.llm import ngrams
+
+    raw = pa.array([b"abc", b"\xff\xfe x", b"\xc3"], pa.large_binary())
+    texts = pa.LargeStringArray.from_buffers(3, raw.buffers()[1], raw.buffers()[2])
+    points, at = ngrams.code_points(texts)
+    assert at.tolist() == [0, 5, 11, 14] and ngrams.has_letter(points, at).tolist() == [True, True, False]
