@@ -132,15 +132,20 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 data, at = buffers(b.column("text"))
                 for base, piece, bounds, first in pieces(data, at, length):
                     a, c, of, lo, more, p = runs(piece, bounds, length, gram)
-                    start = (alt[of + first] << 40) + lo + base
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc[of + first]), pa.array(start), pa.array(more.astype(np.int16)), pa.array(p.astype(np.int16))], ["gram", "run", "doc", "start", "more", "place"])
-
-    made = texts.select("doc", "alt", "text").mapInArrow(cut, "gram long, run long, doc long, start long, more short, place short")
-    of_gram = Window.partitionBy("gram")
-    of_run = Window.partitionBy("gram", "run").orderBy("doc", "start")
-    ranked = made.withColumns({"_n": F.count(F.lit(1)).over(of_gram), "_low": F.min("run").over(of_gram), "_high": F.max("run").over(of_gram)}).filter("_n > 1")
-    ranked = ranked.withColumn("_rank", F.row_number().over(of_run)).filter("_rank > 1 or _low <> _high")
-    first = F.col("_rank") == 1
+                    start, owner = (alt[of + first] << 40) + lo + base, doc[of + first]
+                    # Runs that an earlier one of this slice equals are known to be repeated; they are dealt by document.
+                    order = np.lexsort((start, owner, c, a))
+                    sure = np.zeros(len(a), bool)
+                    sure[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                    a = np.where(sure, mixed(owner.astype(np.uint64)), a)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(sure), pa.array(c.view(np.int64)), pa.array(owner), pa.array(start), pa.array(more.astype(np.int16)), pa.array(p.astype(np.int16))], ["gram", "sure", "run", "doc", "start", "more", "place"])
+
+    made = texts.select("doc", "alt", "text").mapInArrow(cut, "gram long, sure boolean, run long, doc long, start long, more short, place short")
+    of_gram = Window.partitionBy("gram", "sure")
+    of_run = Window.partitionBy("gram", "sure", "run").orderBy("doc", "start")
+    ranked = made.withColumns({"_n": F.count(F.lit(1)).over(of_gram), "_low": F.min("run").over(of_gram), "_high": F.max("run").over(of_gram)}).filter("sure or _n > 1")
+    ranked = ranked.withColumn("_rank", F.row_number().over(of_run)).filter("sure or _rank > 1 or _low <> _high")
+    first = (F.col("_rank") == 1) & ~F.col("sure")
     ranked = materialise(ranked.select(F.when(first, F.col("gram")).alias("gram"), F.when(first, F.col("_n")).alias("n"), F.when(first, F.col("place")).alias("place"), "doc", "start", "more"))
     gone = ranked.filter("gram is null").select("doc", "start", "more")
 
