@@ -21,10 +21,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from evenkeel.llm.arrow import bounded_batches
+from evenkeel.llm.arrow import bounded_batches, slices, trimmed
 
 #: Pre-tokens in each of the two generations that a worker remembers, and the longest of them in characters.
-MEMO_ENTRIES, MEMO_LENGTH = 300_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 150_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,6 +178,12 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        wide = b.column("text").cast(pa.large_binary())
+        yield from slices(pa.RecordBatch.from_arrays([b.column("id"), wide], ["id", "text"]), raw=True)
+
+
 def _strings(column: pa.Array) -> list[str]:
     return [x.decode("utf-8", "replace") for x in column.to_pylist()]
 
@@ -189,12 +195,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec.value
-        for b in batches:
+        for b in _slices(batches):
             ids = [np.frombuffer(c.encode(t), "<u4").astype(np.int64) for t in _strings(b.column("text"))]
             lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.concatenate([*ids, np.zeros(0, np.int64)])).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in ids], pa.int64()), lists], ["id", "n_tokens", "ids"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids array<long>").withColumnRenamed("id", id_col)
+    return _columns(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, n_tokens long, ids array<long>").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -212,7 +218,7 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "bytes"])
 
     chosen = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return chosen.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(trimmed(run), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +228,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec.value
-        for b in batches:
+        for b in _slices(batches):
             n, a, d = [], [], []
             for t in _strings(b.column("text")):
                 ids = c.encode(t)
@@ -231,7 +237,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                 d.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return _columns(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +247,7 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec.value
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(c.encode(t)) // 4 for t in _strings(b.column("text"))], pa.int64())], ["id", "n_tokens"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)
+    return _columns(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)

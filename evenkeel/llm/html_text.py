@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.arrow import bounded_batches
+from evenkeel.llm.arrow import bounded_batches, trimmed
 from evenkeel.sources.scratch import materialise
 
 #: Elements by their role in HTML.
@@ -302,8 +302,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         if at is not None:
             yield rows({at: w})
 
-    parts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(infer, "host string, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(unite, "host string, wrapper string")
+    parts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(trimmed(infer), "host string, wrapper string")
+    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(trimmed(unite), "host string, wrapper string")
 
 
 #: Hosts whose places are broadcast (a path of keys each); beyond it pages are joined by host, dealt over salts.
@@ -319,7 +319,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(place(json.loads(x))) for x in b.column(1).to_pylist()], pa.string())], ["host", "place"])
 
-    places = materialise(wrappers(pages, url_col, html_col).mapInArrow(locate, "host string, place string"))
+    places = materialise(wrappers(pages, url_col, html_col).mapInArrow(trimmed(locate), "host string, place string"))
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), name.alias("host"))
     if places.count() <= BROADCAST_HOSTS:
@@ -334,5 +334,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["id", "url", "text", "n_chars"])
 
     bounded_batches(spark, rows=500)
-    out = rows.select("id", "url", "html", "place").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    out = rows.select("id", "url", "html", "place").mapInArrow(trimmed(run), f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col)

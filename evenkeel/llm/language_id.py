@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm import ngrams
-from evenkeel.llm.arrow import bounded_batches, slices, text_array
+from evenkeel.llm.arrow import bounded_batches, slices, text_array, trim, trimmed
 
 SIZES, BITS = range(1, 5), 18
 #: Scale of the features; learning rate and its offset; L1 and L2; passes; share held back for the temperature.
@@ -122,11 +122,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(trimmed(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def learned(docs: DataFrame, learn: Column, lang_col: str = "lang", rows: int = 3000) -> Model:
     """A model of the languages in ``lang_col`` of a sample of the rows that ``learn`` names."""
     from evenkeel.llm.sample import labelled
 
-    return fit(labelled(docs, docs, lang_col, learn & (F.length("text") > 0), rows))
+    model = fit(labelled(docs, docs, lang_col, learn & (F.length("text") > 0), rows))
+    trim()
+    return model

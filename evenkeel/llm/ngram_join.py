@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import shingles
-from evenkeel.llm.arrow import bounded_batches, slices, text_array
+from evenkeel.llm.arrow import bounded_batches, slices, text_array, trimmed
 from evenkeel.llm.components import components
 from evenkeel.sources.scratch import materialise
 
@@ -71,7 +71,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             parts = [p.tobytes() for p in np.split(count, CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, chunk int, counts binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, digest binary, chunk int, counts binary")
 
 
 def corpus_counts(surveyed: DataFrame) -> np.ndarray:
@@ -88,7 +88,7 @@ def corpus_counts(surveyed: DataFrame) -> np.ndarray:
 
     out = np.zeros(CELLS, np.uint32)
     each = CELLS // CHUNKS
-    parts = surveyed.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary")
+    parts = surveyed.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(trimmed(run), "chunk int, counts binary")
     for r in parts.collect():  # CHUNKS rows
         out[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.counts, np.uint32)
     return out
@@ -156,7 +156,7 @@ def candidates(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Dat
                         of.append(np.full(len(keys[-1]), i, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of))], ["key", "doc_id"])
 
-    rows = docs.mapInArrow(run, "key long, doc_id long")
+    rows = docs.mapInArrow(trimmed(run), "key long, doc_id long")
     rows = rows.withColumn("hub", F.min("doc_id").over(Window.partitionBy("key")))
     return rows.filter("hub <> doc_id").select("hub", F.col("doc_id").alias("member")).distinct()
 
@@ -251,8 +251,8 @@ def across(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
             yield block()
 
     order = ["hub", "i", "j"]
-    parts = rows.mapInArrow(cut, "hub long, i int, j int, role int, member long, component long, elements binary")
-    return parts.repartition(*order).sortWithinPartitions(*order).mapInArrow(judge, "u long, v long").distinct()
+    parts = rows.mapInArrow(trimmed(cut), "hub long, i int, j int, role int, member long, component long, elements binary")
+    return parts.repartition(*order).sortWithinPartitions(*order).mapInArrow(trimmed(judge), "u long, v long").distinct()
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, k: int) -> DataFrame:
@@ -296,9 +296,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, k: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["hub", "member", "n_hub", "n_member", "overlap"])
 
     order = ["hub", "part", "salt"]
-    parts = rows.mapInArrow(cut, "hub long, salt int, role int, id long, part int, n long, elements binary")
+    parts = rows.mapInArrow(trimmed(cut), "hub long, salt int, role int, id long, part int, n long, elements binary")
     parts = parts.repartition(*order).sortWithinPartitions(*order, "role")
-    partial = parts.mapInArrow(count, "hub long, member long, n_hub long, n_member long, overlap long")
+    partial = parts.mapInArrow(trimmed(count), "hub long, member long, n_hub long, n_member long, overlap long")
     return partial.groupBy("hub", "member", "n_hub", "n_member").agg(F.sum("overlap").alias("overlap"))
 
 

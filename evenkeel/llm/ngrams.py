@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from evenkeel.llm.arrow import buffers
+from evenkeel.llm.arrow import buffers, text_array
 
 
 @cache
@@ -31,8 +31,11 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = (data & 0xC0) != 0x80
     count = np.concatenate([[0], np.cumsum(starts)])[at]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = _tables()[0]
     n = len(at) - 1
+    if len(points) != count[-1]:  # bytes that aren't UTF-8: each such text by itself
+        raw = data.tobytes()
+        return code_points(text_array(pa.array([raw[a:z].decode("utf-8", "replace") for a, z in zip(at[:-1], at[1:])])))
+    low = _tables()[0]
     out = np.full(len(points) + 2 * n, 32, np.uint32)
     shift = np.repeat(2 * np.arange(n) + 1, np.diff(count))
     out[np.arange(len(points)) + shift] = low[points]

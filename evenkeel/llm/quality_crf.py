@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm import shingles
-from evenkeel.llm.arrow import bounded_batches, buffers, slices, text_array
+from evenkeel.llm.arrow import bounded_batches, buffers, slices, text_array, trim, trimmed
 
 BINS, PENALTY, STEPS, RATE = 8, 0.5, 120, 0.08
 SLICE_BYTES = 2 << 20
@@ -183,7 +183,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", **options) -> Model:
     from evenkeel.llm.sample import labelled
 
-    return fit(labelled(docs, labels, label_col, learn, **options))
+    model = fit(labelled(docs, labels, label_col, learn, **options))
+    trim()
+    return model
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,4 +201,4 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(m.score(text_array(b.column("text"))))], ["id", "score"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(trimmed(run), f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import induced_sort
-from evenkeel.llm.arrow import bounded_batches, buffers, slices
+from evenkeel.llm.arrow import bounded_batches, buffers, slices, trimmed
 from evenkeel.llm.shingles import mixed
 from evenkeel.sources.scratch import materialise
 
 LENGTH, GRAM = 100, 36
 #: Bytes worked on at once in step 2 (with an overlap), bytes of a shard, and different runs of a gram that stay together.
-PIECE, SHARD, TOGETHER = 2 << 20, 3 << 20, 4000
+PIECE, SHARD, TOGETHER = 1 << 20, 2 << 20, 4000
 #: A side of a join is broadcast up to so many rows (some tens of MB), counted before; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
@@ -140,7 +140,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                     a = np.where(sure, mixed(owner.astype(np.uint64)), a)
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(sure), pa.array(c.view(np.int64)), pa.array(owner), pa.array(start), pa.array(more.astype(np.int16)), pa.array(p.astype(np.int16))], ["gram", "sure", "run", "doc", "start", "more", "place"])
 
-    made = texts.select("doc", "alt", "text").mapInArrow(cut, "gram long, sure boolean, run long, doc long, start long, more short, place short")
+    made = texts.select("doc", "alt", "text").mapInArrow(trimmed(cut), "gram long, sure boolean, run long, doc long, start long, more short, place short")
     of_gram = Window.partitionBy("gram", "sure")
     of_run = Window.partitionBy("gram", "sure", "run").orderBy("doc", "start")
     ranked = made.withColumns({"_n": F.count(F.lit(1)).over(of_gram), "_low": F.min("run").over(of_gram), "_high": F.max("run").over(of_gram)}).filter("sure or _n > 1")
@@ -198,8 +198,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         if held:
             yield shard()
 
-    sent = source.mapInArrow(fetch, "gram long, part long, doc long, start long, bytes binary").repartition("gram", "part").sortWithinPartitions("gram", "part")
-    gone = gone.unionByName(sent.mapInArrow(judge, "doc long, start long, more long"))
+    sent = source.mapInArrow(trimmed(fetch), "gram long, part long, doc long, start long, bytes binary").repartition("gram", "part").sortWithinPartitions("gram", "part")
+    gone = gone.unionByName(sent.mapInArrow(trimmed(judge), "doc long, start long, more long"))
 
     # The union of the windows, as spans of bytes.
     gone = gone.select("doc", F.shiftright("start", 40).alias("alt"), F.col("start").bitwiseAND((1 << 40) - 1).alias("first"), (F.col("start").bitwiseAND((1 << 40) - 1) + F.col("more") + length).alias("end"))
@@ -223,7 +223,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(sha, pa.string()), b.column("spans")], ["digest", "kept", "spans"])
 
     touched = texts.join(_small(spans, spans.count()), (F.col("doc") == F.col("s_doc")) & (F.col("alt") == F.col("s_alt"))).select("digest", "text", "spans")
-    touched = touched.mapInArrow(keep, "digest string, kept string, spans array<struct<first:long,end:long>>").dropDuplicates(["digest"])
+    touched = touched.mapInArrow(trimmed(keep), "digest string, kept string, spans array<struct<first:long,end:long>>").dropDuplicates(["digest"])
     result = rows.join(owners, "digest").join(touched, "digest", "left")
     copy = (F.col("doc") != F.col("owner")) & (F.col("n_bytes") >= length)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("end")))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm import ngrams
-from evenkeel.llm.arrow import bounded_batches, slices, text_array
+from evenkeel.llm.arrow import bounded_batches, slices, text_array, trim, trimmed
 
 SIZES, BITS = range(3, 7), 20
 #: Smoothing of the counts; least standard errors of a ratio; least documents of an n-gram; L2 penalty; steps.
@@ -89,7 +89,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", **options) -> Model:
     from evenkeel.llm.sample import labelled
 
-    return fit(labelled(docs, labels, label_col, learn, **options))
+    model = fit(labelled(docs, labels, label_col, learn, **options))
+    trim()
+    return model
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +107,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(m.score(text_array(b.column("text"))))], ["id", "score"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(trimmed(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -119,4 +121,4 @@ def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             for b in slices(batch, text_col):
                 yield b.filter(pa.array(m.score(text_array(b.column(text_col))) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
