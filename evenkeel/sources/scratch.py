@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one only in a local session that sets none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,5 +35,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written with ``materialise``; call it when no frame that reads them is needed any more."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
