@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import shingles
@@ -312,8 +312,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     # 1. Equal sets: ``copies`` are the documents that another one stands for.
     equal = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    equal = equal.filter("first <> last").select("digest", "first")
-    copies = materialise(rows.filter("doc_id is not null").join(equal, "digest").filter("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct())
+    equal = materialise(equal.filter("first <> last").select("digest", "first"))
+    copies = materialise(rows.filter("doc_id is not null").join(_small(equal, equal.count()), "digest").filter("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct())
     n_copies = copies.count()
     dropped = copies.select("v").distinct()
     ids = given.filter("doc_id is not null")
