@@ -24,7 +24,7 @@ from evenkeel.llm.arrow import bounded_batches, slices, text_array, trim, trimme
 
 SIZES, BITS = range(3, 7), 20
 #: Smoothing of the counts; least standard errors of a ratio; least documents of an n-gram; L2 penalty; steps.
-SMOOTH, LEAST_Z, LEAST_DOCS, PENALTY, STEPS = 0.5, 3.0, 3, 0.02, 300
+SMOOTH, LEAST_Z, LEAST_DOCS, PENALTY, STEPS = 0.5, 3.0, 3, 1.0, 300
 
 
 @dataclass
