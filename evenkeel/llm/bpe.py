@@ -158,6 +158,18 @@ class Codec:
         return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_built: dict[tuple, Codec] = {}
+
+
+def codec_of(ranks: dict[bytes, int], pattern: str) -> Codec:
+    """The codec of a table; building its perfect hash takes a second, so the last one is kept on the driver."""
+    key = (hash(tuple(ranks.items())), pattern)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Codec(ranks, pattern)
+    return _built[key]
+
+
 class _Memo(dict):
     def __init__(self, codec: Codec):
         super().__init__()
@@ -190,7 +202,7 @@ def _strings(column: pa.Array) -> list[str]:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_tokens, ids (array of long) of each row; no shuffle."""
-    codec = docs.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
+    codec = docs.sparkSession.sparkContext.broadcast(codec_of(ranks, pattern))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +235,7 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each text, decodes its ids: ``id_col``, n_tokens, ids_sha256, decoded_sha256."""
-    codec = docs.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
+    codec = docs.sparkSession.sparkContext.broadcast(codec_of(ranks, pattern))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +254,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
 
 def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_tokens of each row."""
-    codec = docs.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
+    codec = docs.sparkSession.sparkContext.broadcast(codec_of(ranks, pattern))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
