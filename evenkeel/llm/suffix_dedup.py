@@ -118,11 +118,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     rows = materialise(given.select("doc", "no_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
     owners = rows.groupBy("digest").agg(F.min("doc").alias("owner"))
     alone = owners.withColumn("alt", F.row_number().over(Window.partitionBy("owner").orderBy("digest")) - 1)
-    known = rows.select("doc", "digest").distinct().join(alone, "digest")
-    odd = known.filter("doc <> owner or alt > 0").select(F.col("doc").alias("o_doc"), F.col("digest").alias("o_digest"), (F.col("doc") == F.col("owner")).alias("o_first"), F.col("alt").alias("o_alt"))
+    # A text too short for a window may stay repeated.
+    known = rows.groupBy("doc", "digest").agg(((F.count(F.lit(1)) > 1) & (F.max("n_bytes") >= length)).alias("again")).join(alone, "digest")
+    odd = known.filter("doc <> owner or alt > 0 or again").select(F.col("doc").alias("o_doc"), F.col("digest").alias("o_digest"), (F.col("doc") == F.col("owner")).alias("o_first"), F.col("alt").alias("o_alt"), "again")
     odd = materialise(odd)
     texts = given.join(_small(odd, odd.count()), (F.col("doc") == F.col("o_doc")) & (F.col("digest") == F.col("o_digest")), "left")
-    texts = texts.filter("coalesce(o_first, true)").select("doc", F.coalesce("o_alt", F.lit(0)).cast("long").alias("alt"), "digest", "text")
+    texts = texts.filter("coalesce(o_first, true)").select("doc", F.coalesce("o_alt", F.lit(0)).cast("long").alias("alt"), "digest", "text", F.coalesce("again", F.lit(False)).alias("again"))
+    if odd.filter("o_first and again").isEmpty():
+        texts = texts.drop("again")
+    else:  # repeated rows enter once; only their texts are shuffled
+        once = materialise(texts.filter("again").drop("again").dropDuplicates(["doc", "digest"]))
+        texts = texts.filter("not again").drop("again").unionByName(once)
 
     # 2. Runs of windows by gram.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,19 @@ def test_suffix_dedup(spark, monkeypatch, together, shard):
     assert suffix_dedup.report(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 300])
+def test_suffix_dedup_repeated_rows(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, part = some(400), some(150)
+    rows = [(1, long), (2, some(200) + part), (3, part + some(90)), (1, long), (4, "z" + long[50:300]), (2, "own " + part), (3, "x"), (3, "x"), (1, long), (5, long), (5, long)]
+    got = sorted((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans))) for r in suffix_dedup.report(table(spark, rows)).collect())
+    raw = [(i, t.encode()) for i, t in rows]
+    assert got == sorted((i, len(t), tuple(s)) for (i, t), s in zip(raw, brute_spans(raw, 100)))
+    assert [g for g in got if g[0] == 1] == [(1, 400, ())] * 3
+
+
 def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     rng = random.Random(1)
