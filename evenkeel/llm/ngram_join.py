@@ -20,7 +20,9 @@ pairs. Counts of n-grams are kept in a table of fixed size (``CELLS``); several
 cell, which changes the order of fragments only, for all texts alike.
 
 Null and empty texts have the empty set and are linked with nothing. Rows with a null id have a null
-component. Rows with the same id count as one document: it is linked if one of its texts is.
+component. Rows with the same id count as one document: it is linked if one of its texts is. Work goes by
+nodes, which are pairs of id and text: a node is its id, or a number of its own where several rows have the
+id; repeated rows are one node and enter once.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import shingles
@@ -52,12 +54,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """Per document doc_id, n and digest of its set; per task and chunk of cells counts of its n-grams."""
+    """Per document doc_id, mark, n and digest of its set; per task and chunk of cells counts of its n-grams."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "digest", "chunk", "counts"]
+        names = ["doc_id", "mark", "n", "digest", "chunk", "counts"]
         for batch in batches:
             n, digest = [], []
             for b in slices(batch, most=shingles.SLICE_BYTES):
@@ -66,12 +68,12 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     count[(s & np.uint64(CELLS - 1)).astype(np.int64)] += 1
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if count.any():
             parts = [p.tobytes() for p in np.split(count, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(CHUNKS, pa.int64())] * 3, pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, n long, digest binary, chunk int, counts binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, mark long, n long, digest binary, chunk int, counts binary")
 
 
 def corpus_counts(surveyed: DataFrame) -> np.ndarray:
@@ -302,27 +304,60 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, k: int) -> DataFra
     return partial.groupBy("hub", "member", "n_hub", "n_member").agg(F.sum("overlap").alias("overlap"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """A row per row of ``docs``: ``id_col``, n_shingles, component_id. Ids are integers."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _mark(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(text_col)).alias("mark")
+
+
+def _numbered(rows: DataFrame) -> DataFrame | None:
+    """doc, t_mark, times, own: a number of its own for each text of ids that several rows have; None without such ids."""
+    twice = materialise(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("doc_id").alias("doc")))
+    n = twice.count()
+    if not n:
+        return None
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number, room = F.monotonically_increasing_id(), 1 << 52
+    if high < (1 << 63) - room:
+        number = F.lit(high + 1) + number
+    elif low >= room - (1 << 63):
+        number = F.lit(low - 1) - number
+    else:
+        raise ValueError("ids take up both ends of the 64-bit range: no numbers are left for ids with several rows")
+    each = rows.join(_small(twice, n), rows["doc_id"] == twice["doc"]).groupBy("doc", F.col("mark").alias("t_mark")).agg(F.count(F.lit(1)).alias("times"))
+    return materialise(each.withColumn("own", number))
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (doc_id, n), links between nodes (u, v), and the numbered nodes."""
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col))
     surveyed = materialise(survey(given, k))
     counts = corpus_counts(surveyed)
-    rows = surveyed.filter("chunk is null").select("doc_id", "n", "digest")
-
-    # 1. Equal sets: ``copies`` are the documents that another one stands for.
-    equal = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    rows = surveyed.filter("chunk is null").select("doc_id", "mark", "n", "digest")
+    every = rows.filter("doc_id is not null").withColumnRenamed("doc_id", "node")
+    ids = given.filter("doc_id is not null")
+    numbered = _numbered(rows)
+    if numbered is not None:
+        some = _small(numbered, numbered.count())
+        every = every.join(some, (F.col("node") == F.col("doc")) & (F.col("mark") == F.col("t_mark")), "left").withColumn("node", F.coalesce("own", "node"))
+        ids = ids.join(some, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("t_mark")), "left").withColumn("doc_id", F.coalesce("own", "doc_id"))
+
+    # 1. Equal sets: ``copies`` are the nodes that another one stands for.
+    equal = every.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     equal = materialise(equal.filter("first <> last").select("digest", "first"))
-    copies = materialise(rows.filter("doc_id is not null").join(_small(equal, equal.count()), "digest").filter("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct())
+    copies = materialise(every.join(_small(equal, equal.count()), "digest").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
     n_copies = copies.count()
     dropped = copies.select("v").distinct()
-    ids = given.filter("doc_id is not null")
     chosen = ids.join(_small(dropped, n_copies), ids["doc_id"] == dropped["v"], "left_anti")
+    if numbered is not None:  # repeated rows enter once; only their texts are shuffled
+        again = F.coalesce(F.col("times"), F.lit(1)) > 1
+        chosen = chosen.filter(~again).select("doc_id", "text").unionByName(materialise(chosen.filter(again).select("doc_id", "text").dropDuplicates(["doc_id"])))
+    else:
+        chosen = chosen.select("doc_id", "text")
 
     # 2. and 3.
     pairs = materialise(candidates(chosen, counts, k, percent))
     linked = 100 * F.col("overlap") >= percent * (F.col("n_hub") + F.col("n_member") - F.col("overlap"))
-    counted = materialise(overlaps(ids, pairs, pairs.count(), k).withColumn("linked", linked))
+    counted = materialise(overlaps(chosen, pairs, pairs.count(), k).withColumn("linked", linked))
     links = counted.filter("linked").select(F.col("hub").alias("u"), F.col("member").alias("v"))
 
     # 4.
@@ -332,14 +367,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         found = components(links)
         inner = members.join(found, members["member"] == found["node"], "left")
         inner = materialise(inner.select("hub", "member", "n", "linked", F.coalesce("component", "member").alias("component")))
-        links = links.unionByName(across(ids, inner, k, percent))
-    found = components(links.unionByName(copies))
+        links = links.unionByName(across(chosen, inner, k, percent))
+    return rows.select("doc_id", "n"), links.unionByName(copies), numbered
+
+
+def _documents(frame: DataFrame, numbered: DataFrame | None, *columns: str) -> DataFrame:
+    """``frame`` with the ids of the nodes in ``columns``."""
+    if numbered is None:
+        return frame
+    some = numbered.select(F.col("doc").alias("_doc"), F.col("own").alias("_own"))
+    some = _small(some, some.count())
+    for c in columns:
+        frame = frame.join(some, F.col(c) == F.col("_own"), "left").withColumn(c, F.coalesce("_doc", c)).drop("_doc", "_own")
+    return frame
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """A row per row of ``docs``: ``id_col``, n_shingles, component_id. Ids are integers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows, links, numbered = _links(docs, id_col, text_col, k, percent)
+    found = components(_documents(links, numbered, "u", "v"))
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").cast(kind).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with all their columns."""
-    gone = classes(docs, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id"))
-    gone = materialise(gone.select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(_small(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of the group of their text, with all their columns.
+
+    Of an id with several texts each text is judged by itself.
+    """
+    _, links, numbered = _links(docs, id_col, text_col, k, percent)
+    found = components(links)
+    if numbered is None:
+        gone = materialise(found.filter("node <> component").select(F.col("node").alias("_gone")))
+        return docs.join(_small(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")
+    found = _documents(found.withColumn("id", F.col("node")), numbered, "id")
+    owners = found.groupBy("component").agg(F.min("id").alias("owner"))
+    gone = materialise(found.join(owners, "component").filter("id <> owner").select(F.col("node").alias("_gone")))
+    own = numbered.join(gone, numbered["own"] == gone["_gone"], "left_semi").select(F.col("doc").alias("_doc"), "t_mark")
+    own = materialise(own)
+    left = docs.join(_small(own, own.count()), (docs[id_col] == own["_doc"]) & (_mark(text_col) == own["t_mark"]), "left_anti")
+    return left.join(_small(gone, gone.count()), left[id_col] == gone["_gone"], "left_anti")

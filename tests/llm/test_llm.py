@@ -271,6 +271,17 @@ def test_ngram_join(spark, monkeypatch, seed):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) | {None}
 
 
+def test_ngram_join_repeated_rows_and_ids_with_several_texts(spark):
+    some = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    half = some("h", 60)
+    rows = [(2, half + " " + some("a", 60)), (2, half + " " + some("a", 60)), (3, half + " " + some("b", 60)), (3, half + " " + some("b", 60))]  # not linked
+    rows += [(10, some("c", 50)), (11, some("c", 50)), (11, some("d", 50)), (12, some("d", 49) + " other"), (11, some("e", 50)), (13, some("e", 50)), (14, some("f", 40))]
+    got = ngram_join.classes(table(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == brute_components(rows) == {2: 2, 3: 3, **dict.fromkeys((10, 11, 12, 13), 10), 14: 14}
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.keep_one(table(spark, rows)).collect())
+    assert kept == sorted(r for n, r in enumerate(rows) if n not in (5, 7, 9))
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.classes(table(spark, [])).count() == 0
 
