@@ -21,6 +21,8 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,10 +45,16 @@ SCOPE = frozenset("ul ol dl table td th div section article main body aside nav
 NOT_TEXT = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|respond|discussion|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|pagination|pager|toolbar|skip|complementary|contentinfo|hidden)(?:$|[^a-z])")
 IS_TEXT = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[^a-z])")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>""", re.S)
+# Nothing in it is tried twice; a quote without a second one is a character like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z(x)?(x)?", re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+# Trees are as deep as pages make them; calls between Python functions take no C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 28))
+
+
 class Element:
     __slots__ = ("name", "key", "marks", "kids")
 
@@ -59,8 +67,15 @@ def parse(page: str) -> Element:
     """The page's tree; kids are elements and strings (raw text, references not yet decoded)."""
     root = Element("html", "")
     stack, at, size = [root], 0, len(page)
+    last = page.rfind(">")
+    opened: Counter = Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(e.name for e in stack[i:])
+        del stack[i:]
+
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
         if m is None:
             stack[-1].kids.append(page[at:])
             break
@@ -71,9 +86,9 @@ def parse(page: str) -> Element:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if name in RAW:
@@ -82,15 +97,15 @@ def parse(page: str) -> Element:
                 stack[-1].kids.append(" ")
             at = end.end() if end else (at if name in ("option", "button", "select", "object") else size)
             continue
-        if name == "html" or name == "body" and any(e.name == "body" for e in stack):
+        if name == "html" or name == "body" and opened["body"]:
             continue
         if name in VOID or m[3].endswith("/"):
             stack[-1].kids.append(Element(name, ""))
             continue
         for kinds in ((("p",),) if name in BLOCK else ()) + ((CLOSES[name],) if name in CLOSES else ()):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[k] for k in kinds) else ():
                 if stack[i].name in kinds:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in SCOPE and stack[i].name not in kinds:
                     break
@@ -98,6 +113,7 @@ def parse(page: str) -> Element:
         e = Element(name, marks)
         stack[-1].kids.append(e)
         stack.append(e)
+        opened[name] += 1
     return root
 
 
@@ -180,6 +196,24 @@ def align(a: list, b: list) -> list:
     return kept
 
 
+def dumps(wrapper: list) -> str:
+    """The wrapper as flat JSON: each node before its kids, with their number."""
+    out, todo = [], [wrapper]
+    while todo:
+        node = todo.pop()
+        out.append([*node[:5], len(node[5])])
+        todo.extend(reversed(node[5]))
+    return json.dumps(out)
+
+
+def loads(text: str) -> list:
+    done: list = []
+    for *node, n in reversed(json.loads(text)):
+        kids = [done.pop() for _ in range(n)]
+        done.append([*node, kids])
+    return done[0]
+
+
 def aside(name: str, marks: str) -> bool:
     return name in ASIDE or bool(marks and name not in ("html", "body", "article", "main") and name not in HEADING and NOT_TEXT.search(marks) and not (IS_TEXT.search(marks) and name in ("div", "section") and len(marks.split()) == 1 and "-" not in marks))
 
@@ -274,7 +308,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     bounded_batches(pages.sparkSession, rows=500)
 
     def rows(held: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -292,7 +326,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         at, w = None, []
         for b in batches:
             for h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = json.loads(x)
+                x = loads(x)
                 if h == at:
                     w = merge(w, x)
                     continue
@@ -317,7 +351,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(place(json.loads(x))) for x in b.column(1).to_pylist()], pa.string())], ["host", "place"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(place(loads(x))) for x in b.column(1).to_pylist()], pa.string())], ["host", "place"])
 
     places = materialise(wrappers(pages, url_col, html_col).mapInArrow(trimmed(locate), "host string, place string"))
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

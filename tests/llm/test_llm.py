@@ -176,6 +176,16 @@ def test_html(spark):
     assert html_text.extract(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["span", "div", "font"])
+def test_html_deep_pages_and_open_quotes(spark, tag):
+    deep = f"<{tag}>" * 5000 + "deep text"
+    quote = "<p>before</p><p title=" + "x " * 40 + '"open>after</p>'
+    rows = [(1, "http://d.example/1", deep), (2, "http://d.example/2", deep + "<p>more"), (3, "http://q.example", quote), (4, "http://c.example", "<p>a <b or <!-- c")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(docs).collect()}
+    assert got == {1: "deep text", 2: "deep text\n\nmore", 3: "before\n\nafter", 4: "a <b or"}
+
+
 def test_wrapper_alignment():
     fold = lambda x: html_text.fold(html_text.parse(x))
     w = html_text.merge(fold("<ul><li>a<li>b</ul><p>same</p>"), fold("<ul><li>c</ul><h2>t</h2><p>same</p>"))
