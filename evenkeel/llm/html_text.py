@@ -7,10 +7,10 @@ groups become repeats) and aligned with the host's so far: text that differs bec
 that one side lacks become optional, runs of different length repeats. Alignment is associative
 enough to be done per task first, so a host with very many pages costs a row per task.
 
-From the wrapper follows where the host keeps its text: the element with most of the slot text, leaving
-out menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments; articles
-and main elements go first. All of a page's text in that element is returned, in blocks. A page that
-lacks it is judged by its own wrapper.
+From the wrapper follows where the host keeps its text: the smallest container that holds all of it,
+leaving out menus, headers of the body, footers, side bars, notices, adverts, forms, scripts, styles and
+comments. Where a host has main elements, its text is that in them and in articles. All of a page's text in
+the container is returned, in blocks, fixed or not. A page without text there is judged by its own wrapper.
 
 Null and empty pages have an empty text; null urls are the host ``''``. Unclosed and stray tags are
 tolerated, an unclosed comment or script reaches to the end of the page.
@@ -37,6 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea select option iframe object svg math canvas audio video title button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ASIDE = frozenset("nav aside footer form menu dialog fieldset head".split())
+#: Elements that can be the place of a host's text.
+PLACES = frozenset("html body main article section div center".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the second kind ends where one of the first begins.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("tr", "thead", "tbody"), "tfoot": ("tr", "tbody")}
@@ -219,31 +221,45 @@ def aside(name: str, marks: str) -> bool:
 
 
 def place(wrapper: list) -> list[str]:
-    """The path of keys to the element that holds the host's text."""
-    found: list[tuple[float, int, list[str]]] = []
-
-    def walk(node: list, path: list[str], inside: bool) -> float:
-        """Slot text in and below the node, outside of what isn't text."""
+    """The path of keys to the smallest container that holds all of the host's main text."""
+    keys, parent, own, declared = [], [], [], []
+    todo = [(wrapper, -1, False, False)]
+    has_main = False
+    while todo:
+        node, above, inside, main = todo.pop()
         key = node[0]
         if key == "#":
-            return float(node[4])
-        name, _, marks = key.partition(".")
-        group = key.startswith("(")
-        if not group and (aside(name, marks) or name == "header" and not inside):
-            return 0.0
-        own = path if group else [*path, key]
-        total = sum(walk(k, own, inside or name in ("article", "main")) for k in node[5])
-        if not group:
-            rank = 3 if name == "article" else 2 if name == "main" or "main" in marks.split() else 1 if marks and IS_TEXT.search(marks) else 0
-            found.append((total, rank, own))
-        return total
-
-    whole = walk(wrapper, [], False)
-    marked = [f for f in found if f[1] and f[0] >= 0.3 * whole and f[0] > 0]
-    if marked:
-        return max(marked, key=lambda f: (f[1], f[0], -len(f[2])))[2]
-    within = [f for f in found if f[0] >= 0.7 * whole]
-    return max(within, key=lambda f: len(f[2]))[2] if within and whole else [wrapper[0]]
+            own[above] += 1
+            declared[above] += main or inside
+            has_main |= main
+            continue
+        at = above
+        if not key.startswith("("):
+            name, _, marks = key.partition(".")
+            if aside(name, marks) or name == "header" and keys[above].partition(".")[0] in ("html", "body"):
+                continue
+            at = len(keys)
+            keys.append(key)
+            parent.append(above)
+            own.append(0)
+            declared.append(0)
+            inside, main = inside or name == "article", main or name == "main" or "main" in marks.split()
+        todo.extend((k, at, inside, main) for k in reversed(node[5]))
+    texts = declared if has_main else own
+    for i in range(len(keys) - 1, 0, -1):
+        texts[parent[i]] += texts[i]
+    if not texts or not texts[0]:
+        return [wrapper[0]]
+    path, at = [], max(i for i, n in enumerate(texts) if n == texts[0])  # kids come after their parents
+    while at >= 0:
+        path.append(keys[at])
+        at = parent[at]
+    path.reverse()
+    names = [k.partition(".")[0] for k in path]
+    for name in ("article", "main"):
+        if name in names:
+            return path[: names.index(name) + 1]
+    return path[: max(i for i, n in enumerate(names) if n in PLACES or "-" in n) + 1]
 
 
 def blocks(e: Element) -> list[str]:
@@ -275,7 +291,8 @@ def blocks(e: Element) -> list[str]:
             continue
         if block:
             todo.append((x, 1))
-        todo.extend((k, 0) for k in reversed(x.kids))
+        kids = x.kids if x.name not in ("html", "body") else [k for k in x.kids if isinstance(k, str) or k.name != "header"]
+        todo.extend((k, 0) for k in reversed(kids))
     flush()
     return out
 
@@ -290,9 +307,10 @@ def at_path(root: Element, path: list[str]) -> list[Element]:
 def main_text(page: str, path: list[str] | None) -> str:
     root = parse(page)
     where = at_path(root, path) if path else []
-    if not where:
-        where = at_path(root, place(fold(root)))
-    return "\n\n".join(b for e in where for b in blocks(e))
+    found = [b for e in where for b in blocks(e)]
+    if not found:
+        found = [b for e in at_path(root, place(fold(root))) for b in blocks(e)]
+    return "\n\n".join(found)
 
 
 HOSTS_HELD = 500

@@ -186,6 +186,28 @@ def test_html_deep_pages_and_open_quotes(spark, tag):
     assert got == {1: "deep text", 2: "deep text\n\nmore", 3: "before\n\nafter", 4: "a <b or"}
 
 
+def test_html_place_holds_all_text():
+    def text(*bodies):
+        folded = [html_text.fold(html_text.parse(b)) for b in bodies]
+        w = folded[0]
+        for x in folded[1:]:
+            w = html_text.merge(w, x)
+        return [html_text.main_text(b, html_text.place(html_text.loads(html_text.dumps(w)))) for b in bodies]
+
+    p = "".join(f"<p>{'long text ' * 20}{{0}}{i}" for i in range(6))
+    long = ["long text " * 20 + f"{{0}}{i}" for i in range(6)]
+    said = lambda *parts: ["\n\n".join(parts).format(i) for i in "ab"]
+    both = lambda body: text(*(body.format(i) for i in "ab"))
+    bare = "<body><nav>n</nav><div><h1>t{0}</h1>" + p + "<ul><li>l{0}<li>m</ul><table><tr><td>c{0}</table><blockquote>q{0}</blockquote></div><footer>f</footer></body>"
+    assert both(bare) == said("t{0}", *long, "l{0}", "m", "c{0}", "q{0}")
+    beside = "<body><article><p>teaser of some length {0}</article><section>" + p + "</section></body>"
+    assert both(beside) == said("teaser of some length {0}", *long)
+    inside = "<body><div>site {0}</div><main><article>" + p + "</article><section><h2>h{0}</h2>" + p + "</section></main></body>"
+    assert both(inside) == said(*long, "h{0}", *long)
+    several = "<body><article>" + p + "</article><article>" + p + "</article></body>"
+    assert both(several) == said(*long, *long)
+
+
 def test_wrapper_alignment():
     fold = lambda x: html_text.fold(html_text.parse(x))
     w = html_text.merge(fold("<ul><li>a<li>b</ul><p>same</p>"), fold("<ul><li>c</ul><h2>t</h2><p>same</p>"))
