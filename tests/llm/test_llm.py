@@ -485,6 +485,18 @@ def test_pipeline_against_brute_force(spark):
         assert stage.columns == docs.columns
 
 
+def test_pipeline_near_copies_are_judged_on_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda *at: " ".join(f"e{w}" if i in at else w for i, w in enumerate(base))
+    rows = [(1, edited()), (2, edited(30, 60)), (3, edited(20, 50, 80))]
+    a, b, c = (word_sets(t, 5) for _, t in rows)
+    assert 10 * len(a & b) >= 8 * len(a | b) and 10 * len(a & c) < 8 * len(a | c) and 10 * len(b & c) < 8 * len(b | c)
+    assert 100 * len(word_sets(rows[0][1]) & word_sets(rows[1][1])) < 85 * len(word_sets(rows[0][1]) | word_sets(rows[1][1]))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), FOLDER).collect()} == {1, 3}
+
+
 def test_bytes_that_are_not_utf8():
     from evenkeel.llm import ngrams
 
