@@ -1,19 +1,32 @@
 """Main text of web pages by union-free wrappers, inferred per host.
 
-A page becomes a tree of elements and text. A wrapper is a union-free regular expression over such
-trees: elements and text slots that stand once, may be missing (optional) or repeat, also as groups.
-Every page of a host is folded into a wrapper of its own (neighbours of one kind and repeated
-groups become repeats) and aligned with the host's so far: text that differs becomes a slot, elements
-that one side lacks become optional, runs of different length repeats. Alignment is associative
-enough to be done per task first, so a host with very many pages costs a row per task.
-
-From the wrapper follows where the host keeps its text: the smallest container that holds all of it,
-leaving out menus, headers of the body, footers, side bars, notices, adverts, forms, scripts, styles and
-comments. Where a host has main elements, its text is that in them and in articles. All of a page's text in
-the container is returned, in blocks, fixed or not. A page without text there is judged by its own wrapper.
-
-Null and empty pages have an empty text; null urls are the host ``''``. Unclosed and stray tags are
-tolerated, an unclosed comment or script reaches to the end of the page.
+A page is read as a stream of tokens: block elements opening and closing (an element's kind is its name
+with the words of class and id, numbers as 0), and between them text lines. A wrapper is a union-free
+regular expression over such streams (``expression`` prints it): elements that stand once, may be missing
+(optional) or come again (repeated), and lines, which are fixed text or slots. The pages of a host are
+aligned one after the other: elements of one kind below the same ones match, what one side lacks becomes
+optional, what comes again repeated, and of the lines only those stay fixed that are the same on both.
+These are sums, minima and intersections, so a wrapper doesn't depend on how pages are dealt to tasks,
+and a host with very many pages costs a row per task.
+
+The wrapper decides what is main text:
+
+* Fixed lines are the host's, not the page's: they go where ``FIXED_PAGES`` pages or more have the
+  element, and all have the line. They stay if the host has no other text (its pages are copies).
+* Lists of links go: repeated elements outside ``article`` and ``main`` with little text but links.
+* Elements that HTML or ARIA name as navigation, header of the body, footer, side bar, form, dialog,
+  script, style or the like go. Words in class or id never decide alone: a block named as an advert,
+  notice, comments and so on goes if the wrapper agrees, which is to say that it is outside the articles,
+  or fixed, or mostly links, or optional, or holds a repeated group, or little text (or has one page only).
+* The place of the text is the smallest container of all other slots; with ``main`` or ``article``
+  elements, these. All lines in it that remain are returned, in blocks. A page without text there is
+  judged by its own wrapper.
+
+Defined results: null and empty pages have an empty text; null urls are the host ``''``. Repeated rows each
+get their result, an empty table gives none, further columns are ignored whatever their names. Reading a
+page takes time in proportion to its length, however it is cut off, nested or broken: unclosed and stray
+tags are tolerated, an unfinished tag at the end is markup, an unclosed comment or script reaches to the
+end of the page. Buttons, text areas and lists of options are parts of forms wherever they stand.
 """
 
 from __future__ import annotations
@@ -21,11 +34,11 @@ from __future__ import annotations
 import html
 import json
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,58 +47,89 @@ from evenkeel.sources.scratch import materialise
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select option iframe object svg math canvas audio video title button".split())
+RAW = frozenset("script style textarea title iframe noframes xmp noembed".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-ASIDE = frozenset("nav aside footer form menu dialog fieldset head".split())
+UNSHOWN = frozenset("head nav aside footer menu dialog fieldset template noscript select datalist button".split())
+#: Of these, those that don't begin where none of them ends any more.
+PAIRED = frozenset("template noscript select datalist button".split())
+ROLES = frozenset("navigation complementary contentinfo banner search dialog alertdialog alert menu menubar toolbar form".split())
 #: Elements that can be the place of a host's text.
-PLACES = frozenset("html body main article section div center".split())
-HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLACES = frozenset("html body main article section div center form".split())
 #: An open element of the second kind ends where one of the first begins.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("tr", "thead", "tbody"), "tfoot": ("tr", "tbody")}
-SCOPE = frozenset("ul ol dl table td th div section article main body aside nav form blockquote".split())
-#: Words in class, id or role that mark what isn't text, and what is.
-NOT_TEXT = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|respond|discussion|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|pagination|pager|toolbar|skip|complementary|contentinfo|hidden)(?:$|[^a-z])")
-IS_TEXT = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[^a-z])")
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("tr", "thead", "tbody"), "tfoot": ("tr", "tbody"), "option": ("option",), "button": ("button",), "select": ("select",)}
+SCOPE = frozenset("ul ol dl table td th div section article main body aside nav form blockquote select".split())
+#: Words of class or id, as a whole, of blocks that are no text if the wrapper agrees.
+NAMED = frozenset("ad ads advert advertisement adsense sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments respond discussion disqus replies share sharing social related recommended newsletter subscribe signup login widget pagination pager toolbar".split())
 
-# Nothing in it is tried twice; a quote without a second one is a character like others.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
-_OPEN_COMMENT = re.compile(r"<!--.*\Z(x)?(x)?", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Pages that must have an element before its lines can be fixed; kinds below an element that are told apart.
+FIXED_PAGES, MOST_KINDS = 5, 200
+#: Shares of an element's text: in links, fixed, and of the host's that is little.
+LINKED, SAME, LITTLE = 0.8, 0.9, 0.1
 
-
-# Trees are as deep as pages make them; calls between Python functions take no C stack.
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 28))
+# Each matches at a "<" whatever follows, reads every character once and has nothing to try again: a quote opens a value only
+# after "=", and one that isn't closed is a character like others.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(>?)""")
+_MARK = re.compile(r"""(?<![\w-])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
+_RAW_END = {name: re.compile(f"</{name}(?![a-zA-Z0-9-])[^>]*+>?", re.I) for name in RAW}
 
 
 class Element:
-    __slots__ = ("name", "key", "marks", "kids")
+    __slots__ = ("name", "key", "kids", "shown")
+
+    def __init__(self, name: str, key: str, shown: bool = True):
+        self.name, self.key, self.kids, self.shown = name, key, [], shown
 
-    def __init__(self, name: str, marks: str):
-        self.name, self.marks, self.kids = name, marks, []
-        self.key = f"{name}.{marks}" if marks else name
+
+def _kind(name: str, attributes: str) -> tuple[str, bool]:
+    """Key of an element, and whether its role is one of text."""
+    words, shown = set(), name not in UNSHOWN
+    for m in _MARK.finditer(attributes) if "=" in attributes else ():
+        own = (m[2] or m[3] or m[4] or "").lower().split()
+        if m[1].lower() == "role":
+            shown = shown and not ROLES.intersection(own)
+        else:
+            words.update(re.sub(r"\d+", "0", w) for w in own)
+    return (f"{name}.{' '.join(sorted(words))}" if words else name), shown
 
 
 def parse(page: str) -> Element:
     """The page's tree; kids are elements and strings (raw text, references not yet decoded)."""
-    root = Element("html", "")
+    root = Element("html", "html")
     stack, at, size = [root], 0, len(page)
-    last = page.rfind(">")
     opened: Counter = Counter()
+    last_end: dict[str, int] = {}
 
     def close(i: int) -> None:
         opened.subtract(e.name for e in stack[i:])
         del stack[i:]
 
+    def ends(name: str) -> bool:
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in re.finditer(f"</{name}", page, re.I)), default=-1)
+        return last_end[name] >= at
+
     while at < size:
-        m = _TOKEN.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             stack[-1].kids.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if start > at:
+            stack[-1].kids.append(page[at:start])
+        m = _TAG.match(page, start)
+        if m is None:
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 1)
+                at = end + 3 if end >= 0 else size
+            elif page[at : at + 1] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else size
+            else:
+                stack[-1].kids.append("<")
             continue
+        at = m.end()
+        if not m[4]:
+            break  # the page ends inside a tag
         name = m[2].lower()
         if m[1]:
             for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
@@ -94,16 +138,19 @@ def parse(page: str) -> Element:
                     break
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?![a-zA-Z0-9])[^>]*>", re.I).search(page, at)
-            if name not in ("script", "style", "noscript", "template"):
-                stack[-1].kids.append(" ")
-            at = end.end() if end else (at if name in ("option", "button", "select", "object") else size)
+            stack[-1].kids.append(" ")
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else size
             continue
         if name == "html" or name == "body" and opened["body"]:
             continue
         if name in VOID or m[3].endswith("/"):
-            stack[-1].kids.append(Element(name, ""))
+            stack[-1].kids.append(Element(name, name))
+            continue
+        if name in PAIRED and not ends(name):
             continue
+        if name in BLOCK and stack[-1].name == "head":
+            close(len(stack) - 1)
         for kinds in ((("p",),) if name in BLOCK else ()) + ((CLOSES[name],) if name in CLOSES else ()):
             for i in range(len(stack) - 1, 0, -1) if any(opened[k] for k in kinds) else ():
                 if stack[i].name in kinds:
@@ -111,209 +158,299 @@ def parse(page: str) -> Element:
                     break
                 if stack[i].name in SCOPE and stack[i].name not in kinds:
                     break
-        marks = " ".join(sorted({re.sub(r"\d+", "0", w) for x in _MARK.finditer(m[3]) for w in (x[1] or x[2] or x[3] or "").lower().split()})) if m[3] else ""
-        e = Element(name, marks)
+        e = Element(name, *(_kind(name, m[3]) if m[3] or name in UNSHOWN else (name, True)))
+        if name == "header" and stack[-1].name in ("html", "body"):
+            e.shown = False
         stack[-1].kids.append(e)
         stack.append(e)
         opened[name] += 1
     return root
 
 
-# A wrapper node: [key, optional, repeated, fixed text or None, characters of slot text, kids]; key "#" is text, "(...)" a group.
+def tokens(page: str) -> list[tuple]:
+    """The page's stream: (key,) opens a block element, () closes it, (text, linked) is a line; what isn't shown is left out."""
+    out: list[tuple] = []
+    line: list[str] = []
+    linked = 0
+
+    def flush() -> None:
+        nonlocal linked
+        if line:
+            if words := html.unescape("".join(line)).split():
+                text = " ".join(words)
+                out.append((text, linked >= LINKED * len(text)))
+            line.clear()
+        linked = 0
+
+    todo: list = [(parse(page), 0, False)]
+    while todo:
+        x, done, link = todo.pop()
+        if isinstance(x, str):
+            line.append(x)
+            if link:
+                linked += len(x)
+            continue
+        if done:
+            flush()
+            out.append(())
+            continue
+        if not x.shown:
+            line.append(" ")
+            continue
+        if x.name in VOID:
+            if x.name == "hr":
+                flush()
+            elif x.name == "br":
+                line.append(" ")
+            continue
+        if x.name in BLOCK:
+            flush()
+            out.append((x.key,))
+            todo.append((x, 1, link))
+        link = link or x.name == "a"
+        todo.extend((k, 0, link) for k in reversed(x.kids))
+    flush()
+    return out
+
+
+class Node:
+    """An element of a wrapper: pages that have it, its place among its neighbours (summed over these), its lines' characters and
+    those in links, whether it comes again, lines common to all pages."""
+
+    __slots__ = ("pages", "place", "chars", "links", "again", "texts", "kids")
+
+    def __init__(self, pages: int = 1, place: int = 0, chars: int = 0, links: int = 0, again: bool = False, texts: dict | None = None):
+        self.pages, self.place, self.chars, self.links, self.again = pages, place, chars, links, again
+        self.texts: dict[int, int] = {} if texts is None else texts  # digest of a line to its length
+        self.kids: dict[str, Node] = {}
 
 
-def fold(e: Element) -> list:
-    """The wrapper of one tree."""
-    kids = []
-    for k in e.kids:
-        if isinstance(k, str):
-            if k := " ".join(k.split()):
-                kids.append(["#", False, False, k[:200], len(k), []])
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def fold(stream: list[tuple]) -> Node:
+    """The wrapper of one page: elements of one kind below the same ones are one, repeated if they stand in one of these."""
+    root = Node()
+    at, seen = [root], [set()]
+    for t in stream:
+        if not t:
+            at.pop()
+            seen.pop()
+        elif len(t) == 1:
+            key = t[0]
+            node = at[-1].kids.get(key)
+            if node is None:
+                node = at[-1].kids[key] = Node(place=len(seen[-1]))
+            node.again |= key in seen[-1]
+            seen[-1].add(key)
+            at.append(node)
+            seen.append(set())
         else:
-            kids.append(fold(k))
-    return [e.key, False, False, None, 0, _squares(kids)]
-
-
-def _squares(kids: list) -> list:
-    """Runs of one kind, and of groups of up to four kinds, as repeats."""
-    for width in (1, 2, 3, 4):
-        out, i = [], 0
-        while i < len(kids):
-            own = [k[0] for k in kids[i : i + width]]
-            j = i + width
-            if len(own) == width and (width == 1 or len(set(own)) == width):
-                while [k[0] for k in kids[j : j + width]] == own:
-                    j += width
-            if j == i + width:
-                out.append(kids[i])
-                i += 1
-                continue
-            merged = kids[i : i + width]
-            for a in range(i + width, j, width):
-                merged = [merge(x, y) for x, y in zip(merged, kids[a : a + width])]
-            if width == 1:
-                merged[0][2] = True
-                out.append(merged[0])
+            text, linked = t
+            node = at[-1]
+            node.chars += len(text)
+            if linked:
+                node.links += len(text)
             else:
-                out.append([f"({' '.join(own)})", False, True, None, 0, merged])
-            i = j
-        kids = out
-    return kids
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper that both nodes (of one key) match."""
-    fixed = a[3] if a[3] == b[3] else None
-    return [a[0], a[1] or b[1], a[2] or b[2], fixed, a[4] + b[4], align(a[5], b[5])]
-
-
-def align(a: list, b: list) -> list:
-    """The kids of both, matched in order by a longest common sequence of keys; others become optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
-    # Neighbours that became the same kind are one repeat.
-    kept: list = []
-    for x in out:
-        if kept and kept[-1][0] == x[0]:
-            kept[-1] = merge(kept[-1], x)
-            kept[-1][2] = True
-        else:
-            kept.append(x)
-    return kept
+                node.texts[digest(text)] = len(text)
+    return root
 
 
-def dumps(wrapper: list) -> str:
-    """The wrapper as flat JSON: each node before its kids, with their number."""
-    out, todo = [], [wrapper]
+def merge(a: Node, b: Node) -> Node:
+    """``a`` becomes the wrapper that the pages of both match."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x.pages, x.place, x.chars, x.links, x.again = x.pages + y.pages, x.place + y.place, x.chars + y.chars, x.links + y.links, x.again or y.again
+        x.texts = {d: n for d, n in x.texts.items() if d in y.texts}
+        for key, kid in y.kids.items():
+            if key in x.kids:
+                todo.append((x.kids[key], kid))
+            else:
+                x.kids[key] = kid
+    return a
+
+
+def bounded(root: Node) -> Node:
+    """The wrapper, elements that have over ``MOST_KINDS`` kinds below them with their kinds' names only."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if len(x.kids) > MOST_KINDS:
+            by_name: dict[str, Node] = {}
+            for key, kid in sorted(x.kids.items()):
+                name = key.partition(".")[0]
+                if name in by_name:
+                    by_name[name] = merge(by_name[name], kid)
+                    by_name[name].again = True
+                else:
+                    by_name[name] = kid
+            for kid in by_name.values():
+                kid.pages = min(kid.pages, x.pages)
+            x.kids = by_name
+        todo.extend(x.kids.values())
+    return root
+
+
+def _preorder(root: Node) -> list[tuple[str, Node]]:
+    out, todo = [], [("", root)]
     while todo:
-        node = todo.pop()
-        out.append([*node[:5], len(node[5])])
-        todo.extend(reversed(node[5]))
-    return json.dumps(out)
+        key, x = todo.pop()
+        out.append((key, x))
+        todo.extend(reversed(x.kids.items()))
+    return out
 
 
-def loads(text: str) -> list:
-    done: list = []
-    for *node, n in reversed(json.loads(text)):
-        kids = [done.pop() for _ in range(n)]
-        done.append([*node, kids])
-    return done[0]
+def dumps(root: Node) -> str:
+    """The wrapper as flat JSON: each node before its kids, with their number."""
+    return json.dumps([[key, x.pages, x.place, x.chars, x.links, int(x.again), [*x.texts.items()], len(x.kids)] for key, x in _preorder(root)])
 
 
-def aside(name: str, marks: str) -> bool:
-    return name in ASIDE or bool(marks and name not in ("html", "body", "article", "main") and name not in HEADING and NOT_TEXT.search(marks) and not (IS_TEXT.search(marks) and name in ("div", "section") and len(marks.split()) == 1 and "-" not in marks))
+def loads(text: str) -> Node:
+    done: list[tuple[str, Node]] = []
+    for key, pages, place, chars, links, again, texts, n in reversed(json.loads(text)):
+        x = Node(pages, place, chars, links, bool(again), dict(map(tuple, texts)))
+        x.kids = dict(done.pop() for _ in range(n))
+        done.append((key, x))
+    return done[0][1]
 
 
-def place(wrapper: list) -> list[str]:
-    """The path of keys to the smallest container that holds all of the host's main text."""
-    keys, parent, own, declared = [], [], [], []
-    todo = [(wrapper, -1, False, False)]
-    has_main = False
+def expression(root: Node) -> str:
+    """The wrapper in the notation of regular expressions: ``?`` optional, ``+`` repeated, ``"fixed"`` and ``#`` lines."""
+    out, todo = [], [("", root, 1, None)]
     while todo:
-        node, above, inside, main = todo.pop()
-        key = node[0]
-        if key == "#":
-            own[above] += 1
-            declared[above] += main or inside
-            has_main |= main
+        key, x, pages, end = todo.pop()
+        if end is not None:
+            out.append(end)
             continue
-        at = above
-        if not key.startswith("("):
-            name, _, marks = key.partition(".")
-            if aside(name, marks) or name == "header" and keys[above].partition(".")[0] in ("html", "body"):
-                continue
-            at = len(keys)
-            keys.append(key)
-            parent.append(above)
-            own.append(0)
-            declared.append(0)
-            inside, main = inside or name == "article", main or name == "main" or "main" in marks.split()
-        todo.extend((k, at, inside, main) for k in reversed(node[5]))
-    texts = declared if has_main else own
-    for i in range(len(keys) - 1, 0, -1):
-        texts[parent[i]] += texts[i]
-    if not texts or not texts[0]:
-        return [wrapper[0]]
-    path, at = [], max(i for i, n in enumerate(texts) if n == texts[0])  # kids come after their parents
+        mark = ("+" if x.again else "") + ("?" if x.pages < pages else "")
+        out.append(("(" if mark else "") + (f"<{key}>" if key else ""))
+        fixed = sum(x.texts.values()) * x.pages
+        out.append(('"fixed"' if x.texts and x.pages > 1 else "") + ("#" if x.chars > (fixed if x.pages > 1 else 0) else ""))
+        todo.append((key, x, pages, (f"</{key.partition('.')[0]}>" if key else "") + (f"){mark}" if mark else "")))
+        todo.extend((k, kid, x.pages, None) for k, kid in sorted(x.kids.items(), key=lambda i: (i[1].place / i[1].pages, i[0]), reverse=True))
+    return "".join(out)
+
+
+#: What becomes of an element's lines.
+OUTSIDE, TEXT, GONE = 0, 1, 2
+
+
+def guide(root: Node) -> list[list]:
+    """What the wrapper says of each element, in preorder: key, verdict, fixed lines that go, number of kids."""
+    every = _preorder(root)
+    n = len(every)
+    up, depth_end = [-1] * n, [n] * n
+    number = {id(x): i for i, (_, x) in enumerate(every)}
+    for i, (_, x) in enumerate(every):
+        for kid in x.kids.values():
+            up[number[id(kid)]] = i
+    for i in range(n - 1, 0, -1):  # kids come after their parents
+        depth_end[i] = i + 1 if not every[i][1].kids else depth_end[number[id([*every[i][1].kids.values()][-1])]]
+    names = [key.partition(".")[0] for key, _ in every]
+    fixed = [sum(x.texts.values()) * x.pages if x.pages >= FIXED_PAGES else 0 for _, x in every]
+
+    def summed(own: list[int]) -> list[int]:
+        total = list(own)
+        for i in range(n - 1, 0, -1):
+            total[up[i]] += total[i]
+        return total
+
+    chars, links, same = summed([x.chars for _, x in every]), summed([x.links for _, x in every]), summed(fixed)
+    declared = [False] * n
+    for i in range(1, n):
+        declared[i] = declared[up[i]] or names[i] in ("article", "main")
+    has_declared = any(d and every[i][1].chars > every[i][1].links + fixed[i] for i, d in enumerate(declared))
+    gone = [False] * n
+    for i in range(1, n):
+        key, x = every[i]
+        if gone[up[i]]:
+            gone[i] = True
+            continue
+        words = set(key.partition(".")[2].split())
+        if names[i] == "form":
+            gone[i] = 2 * chars[i] <= chars[0]
+        elif NAMED & words and names[i] not in ("html", "body", "article", "main"):
+            repeats = x.again or any(k.again for k in x.kids.values())
+            optional = x.pages < every[up[i]][1].pages
+            little = chars[i] < LITTLE * chars[0]
+            gone[i] = has_declared and not declared[i] or same[i] >= SAME * chars[i] or 2 * links[i] >= chars[i] or repeats or optional or little or root.pages == 1
+        elif not declared[i] and links[i] >= LINKED * chars[i] > 0:
+            gone[i] = x.again or any(k.again for k in x.kids.values())
+    slots = [0 if g else max(0, x.chars - x.links - f) for (_, x), f, g in zip(every, fixed, gone)]
+    if not any(slots):  # copies of one page, or links only: nothing tells fixed text from other
+        fixed, slots = [0] * n, [0 if g else x.chars for (_, x), g in zip(every, gone)]
+    main = [False] * n
+    for i in range(1, n):
+        main[i] = main[up[i]] or names[i] == "main"
+    if any(s for s, m in zip(slots, main) if m):
+        slots = [s if m or d and names[i] != "main" else 0 for i, (s, m, d) in enumerate(zip(slots, main, declared))]
+    total = summed(slots)
+    at = max((i for i in range(n) if total[i] == total[0]), default=0) if total[0] else 0
+    path = []
     while at >= 0:
-        path.append(keys[at])
-        at = parent[at]
+        path.append(at)
+        at = up[at]
     path.reverse()
-    names = [k.partition(".")[0] for k in path]
+    of = [names[i] for i in path]
     for name in ("article", "main"):
-        if name in names:
-            return path[: names.index(name) + 1]
-    return path[: max(i for i, n in enumerate(names) if n in PLACES or "-" in n) + 1]
+        if name in of:
+            path = path[: of.index(name) + 1]
+            break
+    else:
+        path = path[: max((k for k, name in enumerate(of) if name in PLACES), default=0) + 1]
+    place = path[-1]
+    above = set(path[:-1])
+    out = []
+    for i, (key, x) in enumerate(every):
+        verdict = OUTSIDE if i in above else GONE if gone[i] or not place <= i < depth_end[place] else TEXT
+        out.append([key, verdict, sorted(x.texts) if verdict == TEXT and fixed[i] else [], len(x.kids)])
+    return out
 
 
-def blocks(e: Element) -> list[str]:
-    """The text blocks of an element, in order."""
-    out: list[str] = []
-    line: list[str] = []
+class Guide:
+    """A guide as a tree, to walk along with a page."""
 
-    def flush() -> None:
-        if text := " ".join(html.unescape("".join(line)).split()):
-            out.append(text)
-        line.clear()
+    __slots__ = ("verdict", "fixed", "kids")
 
-    todo: list = [(e, 0)]
-    while todo:
-        x, done = todo.pop()
-        if isinstance(x, str):
-            line.append(x)
-            continue
-        block = x.name in BLOCK
-        if block:
-            flush()
-        if done:
-            continue
-        if x is not e and aside(x.name, x.marks):
-            line.append(" ")
-            continue
-        if x.name in VOID:
-            line.append(" " if x.name in ("br", "hr", "wbr") and x.name != "wbr" else "")
-            continue
-        if block:
-            todo.append((x, 1))
-        kids = x.kids if x.name not in ("html", "body") else [k for k in x.kids if isinstance(k, str) or k.name != "header"]
-        todo.extend((k, 0) for k in reversed(kids))
-    flush()
-    return out
+    def __init__(self, verdict: int, fixed: frozenset = frozenset()):
+        self.verdict, self.fixed = verdict, fixed
+        self.kids: dict[str, Guide] = {}
 
+    @classmethod
+    def of(cls, rows: list[list]) -> Guide:
+        done: list[tuple[str, Guide]] = []
+        for key, verdict, fixed, n in reversed(rows):
+            x = cls(verdict, frozenset(fixed))
+            x.kids = dict(done.pop() for _ in range(n))
+            done.append((key, x))
+        return done[0][1]
 
-def at_path(root: Element, path: list[str]) -> list[Element]:
-    level = [root] if root.key == path[0] else []
-    for key in path[1:]:
-        level = [k for e in level for k in e.kids if not isinstance(k, str) and k.key == key]
-    return level
+
+_INSIDE, _BESIDE = Guide(TEXT), Guide(GONE)
+
+
+def lines(stream: list[tuple], root: Guide) -> list[str]:
+    at, out = [root], []
+    for t in stream:
+        if not t:
+            at.pop()
+        elif len(t) == 1:
+            x = at[-1]
+            kid = x.kids.get(t[0]) or x.kids.get(t[0].partition(".")[0])
+            at.append(kid or (_INSIDE if x.verdict == TEXT else _BESIDE))
+        elif at[-1].verdict == TEXT and not (at[-1].fixed and digest(t[0]) in at[-1].fixed):
+            out.append(t[0])
+    return out
 
 
-def main_text(page: str, path: list[str] | None) -> str:
-    root = parse(page)
-    where = at_path(root, path) if path else []
-    found = [b for e in where for b in blocks(e)]
-    if not found:
-        found = [b for e in at_path(root, place(fold(root))) for b in blocks(e)]
-    return "\n\n".join(found)
+def main_text(stream: list[tuple], root: Guide | None) -> str:
+    found = lines(stream, root) if root else []
+    return "\n\n".join(found or lines(stream, Guide.of(guide(fold(stream)))))
 
 
-HOSTS_HELD = 500
+HOSTS_HELD, LINES_HELD = 500, 200_000
 
 
 def host(url: str) -> str:
@@ -323,34 +460,36 @@ def host(url: str) -> str:
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper (JSON) of each host, from all of its pages."""
-    bounded_batches(pages.sparkSession, rows=500)
+    bounded_batches(pages.sparkSession)
 
-    def rows(held: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
+    def rows(held: dict[str, Node]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([dumps(bounded(w)) for w in held.values()], pa.string())], ["host", "wrapper"])
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, Node] = {}
+        size = 0
         for b in batches:
             for u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w, h = fold(parse(x or "")), host(u)
+                stream, h = tokens(x or ""), host(u)
+                w = fold(stream)
+                size += len(stream)
                 held[h] = merge(held[h], w) if h in held else w
-            if len(held) > HOSTS_HELD:
-                yield rows(held)
-                held = {}
+                if len(held) > HOSTS_HELD or size > LINES_HELD:
+                    yield rows(held)
+                    held, size = {}, 0
         if held:
             yield rows(held)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = None, []
+        at, w = None, Node(0)
         for b in batches:
             for h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = loads(x)
                 if h == at:
-                    w = merge(w, x)
+                    w = bounded(merge(w, loads(x)))
                     continue
                 if at is not None:
                     yield rows({at: w})
-                at, w = h, x
+                at, w = h, loads(x)
         if at is not None:
             yield rows({at: w})
 
@@ -358,8 +497,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(trimmed(unite), "host string, wrapper string")
 
 
-#: Hosts whose places are broadcast (a path of keys each); beyond it pages are joined by host, dealt over salts.
-BROADCAST_HOSTS, SALTS = 100_000, 64
+#: Bytes of guides that are broadcast; beyond it pages are joined by host, dealt over salts.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -367,24 +506,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(place(loads(x))) for x in b.column(1).to_pylist()], pa.string())], ["host", "place"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(guide(loads(x))) for x in b.column(1).to_pylist()], pa.string())], ["host", "guide"])
 
-    places = materialise(wrappers(pages, url_col, html_col).mapInArrow(trimmed(locate), "host string, place string"))
+    guides = materialise(wrappers(pages, url_col, html_col).mapInArrow(trimmed(decide), "host string, guide string"))
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), name.alias("host"))
-    if places.count() <= BROADCAST_HOSTS:
-        rows = rows.join(F.broadcast(places), "host", "left")
+    if (guides.agg(F.sum(F.length("guide") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(guides), "host", "left")
     else:
-        salted = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = guides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Guide] = {}
         for b in batches:
-            text = [main_text(x or "", json.loads(p) if p else None) for x, p in zip(b.column("html").to_pylist(), b.column("place").to_pylist())]
+            text = []
+            for x, g in zip(b.column("html").to_pylist(), b.column("guide").to_pylist()):
+                if g is not None and g not in known:
+                    if len(known) > HOSTS_HELD:
+                        known.clear()
+                    known[g] = Guide.of(json.loads(g))
+                text.append(main_text(tokens(x or ""), known[g] if g is not None else None))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    bounded_batches(spark, rows=500)
-    out = rows.select("id", "url", "html", "place").mapInArrow(trimmed(run), f"id {kind}, url string, text string, n_chars long")
+    out = rows.select("id", "url", "html", "guide").mapInArrow(trimmed(run), f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col)

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -166,38 +167,71 @@ def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
 PAGE = "<html><body><nav><a href=/>Home</a></nav><div class=ad>Buy</div><article><h1>{0}</h1><p>{1}<p>Caf&eacute; &lt;b&gt;\n two  spaces<script>no()</script></article><footer>f</footer></body></html>"
 
 
-def test_html(spark):
-    rows = [(i, "http://h.example/a", PAGE.format(f"T{i}", f"text {i}")) for i in range(5)]
+@pytest.mark.parametrize("limit", [None, 10])
+def test_html(spark, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(html_text, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(html_text, "LINES_HELD", limit)
+    rows = [(i, "http://h.example/a", PAGE.format(f"T{i}", f"text {i}")) for i in range(4)]
+    rows += [(20 + i, "http://H6.example/a", PAGE.format(f"T{i}", f"text {i}")) for i in range(6)]
     rows += [(10, "http://h.example/b", None), (11, None, "<p>plain"), (12, "http://other.example", ""), (13, "http://o.example", "<body><article></article><div>else</div>"), (13, "http://o.example", "<!-- open"), (14, "http://s.example", "<div id=main><p>x</p><div class=comments>c</div><aside>s</aside></div>")]
-    docs = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, html string, host string, place string")
-    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(docs).collect())
-    want = [(i, f"T{i}\n\ntext {i}\n\nCafé <b> two spaces") for i in range(5)] + [(10, ""), (11, "plain"), (12, ""), (13, ""), (13, "else"), (14, "x")]
-    assert [(a, b) for a, b, _ in got] == want and all(len(b) == c for _, b, c in got)
+    rows += [(30, "http://r.example", "<p>same")] * 2 + [(None, "http://n.example", "<p>no id")] + [(40 + i, "http://copies.example", PAGE.format("T", "copy")) for i in range(7)]
+    docs = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, html string, host string, guide string").repartition(3)
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract(docs).collect()), key=str)
+    want = [(i, f"T{i}\n\ntext {i}\n\nCafé <b> two spaces") for i in range(4)] + [(10, ""), (11, "plain"), (12, ""), (13, ""), (13, "else"), (14, "x"), (30, "same"), (30, "same"), (None, "no id")]
+    want += [(20 + i, f"T{i}\n\ntext {i}") for i in range(6)]  # the line that all six pages have is the host's
+    want += [(40 + i, "T\n\ncopy\n\nCafé <b> two spaces") for i in range(7)]  # copies of one page have no other text
+    assert [(a, b) for a, b, _ in got] == sorted(want, key=str) and all(len(b) == c for _, b, c in got)
     assert html_text.extract(docs.filter("false")).count() == 0
 
 
 @pytest.mark.parametrize("tag", ["span", "div", "font"])
 def test_html_deep_pages_and_open_quotes(spark, tag):
-    deep = f"<{tag}>" * 5000 + "deep text"
+    deep = f"<{tag}>" * 50_000 + "deep text"
     quote = "<p>before</p><p title=" + "x " * 40 + '"open>after</p>'
-    rows = [(1, "http://d.example/1", deep), (2, "http://d.example/2", deep + "<p>more"), (3, "http://q.example", quote), (4, "http://c.example", "<p>a <b or <!-- c")]
+    rows = [(1, "http://d.example/1", deep), (2, "http://d.example/2", deep + "<p>more"), (3, "http://q.example", quote), (4, "http://c.example", "<p>a <b or <!-- c"), (5, "http://v.example", '<p title="never closed>a<p>b')]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(docs).collect()}
-    assert got == {1: "deep text", 2: "deep text\n\nmore", 3: "before\n\nafter", 4: "a <b or"}
+    assert got == {1: "deep text", 2: "deep text\n\nmore", 3: "before\n\nafter", 4: "a", 5: "a\n\nb"}
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>kept</p>more <a href=http://example.com/" + "x" * 100_000, "kept\n\nmore"),
+        ("<p>kept" + '<a "' * 100_000, "kept"),
+        ("<p>kept" + '<a href="' * 100_001, "kept"),
+        ("<p>kept" + "<!--" * 100_000, "kept"),
+        ("<p>kept" + "<a x=''" * 100_000, "kept"),
+        ("<p>" + "<" * 100_000, "<" * 100_000),
+        ("<p>kept" + "<button>" * 50_000, "kept"),
+        ("<script>" * 50_000, ""),
+        ("".join(f"<div class=c{chr(97 + i % 26) * (i // 26 + 1)}>t{i}</div>" for i in range(2000)), "\n\n".join(f"t{i}" for i in range(2000))),
+    ],
+)
+def test_html_takes_linear_time(page, text):
+    start = time.time()
+    stream = html_text.tokens(page)
+    w = html_text.bounded(html_text.merge(html_text.fold(stream), html_text.fold(stream)))
+    assert html_text.main_text(stream, html_text.Guide.of(html_text.guide(html_text.loads(html_text.dumps(w))))) == text
+    assert time.time() - start < 10
+
+
+def host_texts(*pages):
+    """The texts of one host's pages."""
+    streams = [html_text.tokens(x) for x in pages]
+    w = html_text.fold(streams[0])
+    for s in streams[1:]:
+        w = html_text.merge(w, html_text.fold(s))
+    g = html_text.Guide.of(html_text.guide(html_text.loads(html_text.dumps(w))))
+    return [html_text.main_text(s, g) for s in streams]
 
 
 def test_html_place_holds_all_text():
-    def text(*bodies):
-        folded = [html_text.fold(html_text.parse(b)) for b in bodies]
-        w = folded[0]
-        for x in folded[1:]:
-            w = html_text.merge(w, x)
-        return [html_text.main_text(b, html_text.place(html_text.loads(html_text.dumps(w)))) for b in bodies]
-
     p = "".join(f"<p>{'long text ' * 20}{{0}}{i}" for i in range(6))
     long = ["long text " * 20 + f"{{0}}{i}" for i in range(6)]
     said = lambda *parts: ["\n\n".join(parts).format(i) for i in "ab"]
-    both = lambda body: text(*(body.format(i) for i in "ab"))
+    both = lambda body: host_texts(*(body.format(i) for i in "ab"))
     bare = "<body><nav>n</nav><div><h1>t{0}</h1>" + p + "<ul><li>l{0}<li>m</ul><table><tr><td>c{0}</table><blockquote>q{0}</blockquote></div><footer>f</footer></body>"
     assert both(bare) == said("t{0}", *long, "l{0}", "m", "c{0}", "q{0}")
     beside = "<body><article><p>teaser of some length {0}</article><section>" + p + "</section></body>"
@@ -208,15 +242,72 @@ def test_html_place_holds_all_text():
     assert both(several) == said(*long, *long)
 
 
-def test_wrapper_alignment():
-    fold = lambda x: html_text.fold(html_text.parse(x))
-    w = html_text.merge(fold("<ul><li>a<li>b</ul><p>same</p>"), fold("<ul><li>c</ul><h2>t</h2><p>same</p>"))
-    keys = {k[0]: k for k in w[5]}
-    assert keys["ul"][5][0][0] == "li" and keys["ul"][5][0][2] and keys["h2"][1] and keys["p"][5][0][3] == "same"
-    assert keys["ul"][5][0][5][0][3] is None
-    pairs = fold("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>")[5][0][5]
-    assert pairs[0][0] == "(h2 p)" and pairs[0][2]
-    assert json.loads(json.dumps(w)) == w
+def test_html_wrapper_decides():
+    boilerplate = "the same on every page of the host and much longer than any story, " * 9
+    pages = [f"<body><div><p>{boilerplate}</p></div><div><p>story {i}</p><p>of two lines {i * i}</p></div><div>{boilerplate}</div></body>" for i in range(6)]
+    assert host_texts(*pages) == [f"story {i}\n\nof two lines {i * i}" for i in range(6)]
+    # Names alone take nothing out of an article, nor out of its lines.
+    named = "<body><div class=ad>own advert {0}</div><article><h1>t{0}</h1><div class=related-work>rw {0}</div><div class='story search'>ss {0}</div><div class='post comments-on-method'>cm {0}</div><p class=banner-story>x <a class=share href=x>sh{0}</a> <math><mi>m{0}</mi></math> <svg><text>s{0}</text></svg><canvas>c{0}</canvas></p></article><div class=comments><p>c{0}</div></body>"
+    assert host_texts(*(named.format(i) for i in range(3))) == [f"t{i}\n\nrw {i}\n\nss {i}\n\ncm {i}\n\nx sh{i} m{i} s{i}c{i}" for i in range(3)]
+    # Without elements that say what they are: a list of links, reader comments that come again, a form around all.
+    bare = lambda i: f"<body><form><ul>{''.join(f'<li><a href=/{k}>menu {k} of {i}</a>' for k in range(5))}</ul><div><h1>t{i}</h1><p>{'story ' * 40}{i}</p><p>see <a href=x>this</a> and that {i}</p></div><div class=comments>{''.join(f'<div><p>comment {k} on {i}</p></div>' for k in range(i))}</div><input><button>Go</button></form></body>"
+    assert host_texts(*map(bare, range(1, 5))) == [f"t{i}\n\n{'story ' * 40}{i}\n\nsee this and that {i}" for i in range(1, 5)]
+
+
+def brute_wrapper(pages):
+    """Of each path of kinds: pages that have it, whether it comes again below one element, lines of all of these pages."""
+    found = {}
+    for x in pages:
+        own, path, inner = {(): [False, set()]}, [], [[]]
+        for t in html_text.tokens(x):
+            if not t:
+                path.pop()
+                inner.pop()
+            elif len(t) == 1:
+                path.append(t[0])
+                at = own.setdefault(tuple(path), [False, set()])
+                at[0] |= t[0] in inner[-1]
+                inner[-1].append(t[0])
+                inner.append([])
+            else:
+                own[tuple(path)][1].add(html_text.digest(t[0]))
+        for k, (again, texts) in own.items():
+            n, a, s = found.get(k, (0, False, texts))
+            found[k] = (n + 1, a or again, s & texts)
+    return found
+
+
+def flat(w):
+    out, todo = {}, [((), w)]
+    while todo:
+        path, x = todo.pop()
+        out[path] = (x.pages, x.again, set(x.texts))
+        todo += [((*path, k), kid) for k, kid in x.kids.items()]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_html_wrapper_against_brute_force_in_any_split(seed):
+    rng = random.Random(seed)
+
+    def some(depth):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            tag = rng.choice(["div", "p", "ul", "div class=a", "h2"])
+            parts.append(f"<{tag}>" + (some(depth - 1) if depth and tag != "p" else "") + rng.choice(["", "fixed", f"t{rng.randrange(4)}"]) + f"</{tag.split()[0]}>")
+        return "".join(parts)
+
+    pages = [some(3) for _ in range(9)]
+    folds = [html_text.fold(html_text.tokens(x)) for x in pages]
+    while len(folds) > 1:
+        a, b = (folds.pop(rng.randrange(len(folds))) for _ in range(2))
+        folds.append(html_text.loads(html_text.dumps(html_text.merge(a, b))))
+    assert flat(folds[0]) == brute_wrapper(pages)
+
+
+def test_html_wrapper_expression():
+    w = html_text.merge(html_text.fold(html_text.tokens("<ul><li>a<li>b</ul><p>same</p>")), html_text.fold(html_text.tokens("<ul><li>c</ul><h2>t</h2><p>same</p>")))
+    assert html_text.expression(w) == '<html><ul>(<li>#</li>)+</ul>(<h2>#</h2>)?<p>"fixed"</p></html>'
 
 
 def test_html_query_against_the_template(spark):
