@@ -1,39 +1,41 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The order of n-grams is that of their 64-bit hashes; fragments are ranges of it.
+All n-grams have one global order: by how often the corpus has them, rare ones first, then by hash. Counts
+are kept in a table of fixed size (``CELLS``); several n-grams may share a cell, which changes the order
+for all texts alike. Sets hold two hashes of each n-gram, 128 bits together.
 
 1. Texts with equal sets are one class, its smallest id stands for it.
-2. Candidates. Each set is cut into ``F`` fragments, more than linked sets can differ in, so linked
-   sets have some fragment in common as a whole. As in prefix filtering, it is enough to look at as
-   many fragments as linked sets may differ in, and one more, in an order that is the same for all:
-   here by the count of the fragment's rarest n-gram in the whole corpus, so that passages many
-   documents share come last. Of the sets that share a fragment, each is paired with the smallest id.
-3. Overlaps. The sets of a pair are cut into ``PARTS`` ranges, the common n-grams of each range are
-   counted separately, and the counts summed by pair.
-4. Sets that were paired with the same id (the hub), but not both linked to it, remain: those that
-   aren't linked to the hub are held against all its others, in blocks of bounded size; a block gives
-   the common n-grams of all its pairs at once, and only pairs that are linked, and not in one
-   component already, leave it.
-
-So no pair of different components that could be linked is missed, while a group of m copies costs m
-pairs. Counts of n-grams are kept in a table of fixed size (``CELLS``); several n-grams may share a
-cell, which changes the order of fragments only, for all texts alike.
+2. Candidates. Linked sets of sizes n and m have ``least`` elements in common, so the first of these in the
+   order is among the n - least + 1 first ones of the one and the m - least + 1 first ones of the other:
+   each set is dealt by its first elements, with their places. What sets have in common with very many
+   others comes last in the order, so passages that many documents share bring no candidates.
+3. Overlaps. The order is cut into ``PARTS`` fragments, the sets of a pair into these, the common n-grams of
+   each fragment are counted separately, and the counts summed by pair.
+4. Of the sets that share an element, the one whose place is first (the closest to what the others are
+   copies of) is the hub that the others are paired with: a group of m copies costs m pairs. Where members
+   of a group are in different components afterwards, more hubs follow, ``MORE`` times as many in each
+   round, picked by hash, for pairs of different components only, until all members were hubs or the
+   group is one component. So no pair of different components that could be linked is missed.
 
 Null and empty texts have the empty set and are linked with nothing. Rows with a null id have a null
 component. Rows with the same id count as one document: it is linked if one of its texts is. Work goes by
 nodes, which are pairs of id and text: a node is its id, or a number of its own where several rows have the
-id; repeated rows are one node and enter once.
+id; repeated rows are one node and enter once. Texts are read whole, however long. An empty table gives no
+rows; further columns are ignored, whatever their names. Ids must be integers (``TypeError``).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evenkeel.llm import shingles
 from evenkeel.llm.arrow import bounded_batches, slices, text_array, trimmed
@@ -45,14 +47,20 @@ CELLS, CHUNKS = 1 << 21, 64
 PARTS = 8
 #: A side of a join is broadcast up to so many rows (some tens of MB), counted before; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
-#: Pairs of one id that a task works on; sets and elements of a side of a block; elements looked at together.
-PAIRS_A_TASK, BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 2000, 1000, 1_000_000, 4096
+#: Pairs of one hub that a task works on.
+PAIRS_A_TASK = 2000
+#: Rows of a group that stay together; hubs of a group in the second round, and how many times as many in each further one.
+TOGETHER, FIRST_HUBS, MORE = 4096, 8, 8
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def survey(docs: DataFrame, k: int) -> DataFrame:
     """Per document doc_id, mark, n and digest of its set; per task and chunk of cells counts of its n-grams."""
     bounded_batches(docs.sparkSession)
@@ -63,9 +71,9 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             n, digest = [], []
             for b in slices(batch, most=shingles.SLICE_BYTES):
-                for s in shingles.sets(text_array(b.column("text")), k):
+                for s, second in shingles.wide_sets(text_array(b.column("text")), k):
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digest.append(hashlib.blake2b(s.tobytes() + second.tobytes(), digest_size=32).digest() if len(s) else None)
                     count[(s & np.uint64(CELLS - 1)).astype(np.int64)] += 1
             rows = len(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
@@ -96,71 +104,93 @@ def corpus_counts(surveyed: DataFrame) -> np.ndarray:
     return out
 
 
-class Fragments:
-    """How sets are cut for candidates: schemes by size, each for sizes from 2 ** s to 2 ** (s + 1) - 1 of the smaller set."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-
-    def differ(self, n: int, m: int) -> int:
-        """By how many elements linked sets of sizes n and m can differ."""
-        return (100 - self.percent) * (n + m) // (100 + self.percent)
-
-    def largest(self, n: int) -> int:
-        return 100 * n // self.percent
-
-    def count(self, scheme: int) -> int:
-        n = (2 << scheme) - 1
-        return 1 + (13 * self.differ(n, self.largest(n)) + 9) // 10
-
-    def plans(self, n: int) -> list[tuple[int, int]]:
-        """(scheme, by how many fragments linked sets may differ) for a set of n."""
-        s = n.bit_length() - 1
-        out = [(s, self.differ(n, self.largest(n)))]
-        least = (1 << s) - 1  # the largest of the scheme below
-        if s and 100 * least >= self.percent * n:
-            out.append((s - 1, self.differ(n, least)))
-        return out
-
-    def keys(self, elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The keys of the fragments to look at, of one set (sorted hashes)."""
-        found = []
-        rare = counts[(elements & np.uint64(CELLS - 1)).astype(np.int64)]
-        own = shingles.mixed(elements)
-        for scheme, differ in self.plans(len(elements)):
-            total = self.count(scheme)
-            where = ((elements >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-            tag = (where[first] << np.uint64(6)) + np.uint64(scheme + 1)
-            key = shingles.mixed(np.add.reduceat(own, first) + tag * np.uint64(shingles.BASE))
-            order = np.lexsort((key, np.minimum.reduceat(rare, first)))
-            found.append(key[order[: differ + 1]])
-            if (short := differ + 1 - len(first)) > 0:  # fragments without elements come last
-                empty = np.setdiff1d(np.arange(total, dtype=np.uint64), where[first])[:short]
-                found.append(shingles.mixed(((empty << np.uint64(6)) + np.uint64(scheme + 1)) * np.uint64(shingles.BASE)))
-        return np.concatenate(found)
-
-
-def candidates(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """hub, member: each document with the smallest id among those that share a fragment with it."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # CELLS numbers
+class Order:
+    """The global order of n-grams, its cuts, and which n-grams may have groups that one task shouldn't hold."""
+
+    def __init__(self, counts: np.ndarray):
+        rank = np.argsort(counts, kind="stable")
+        self.place = np.empty(CELLS, np.uint32)  # of each cell
+        self.place[rank] = np.arange(CELLS, dtype=np.uint32)
+        total = np.cumsum(counts[rank].astype(np.uint64))
+        # Fragments of about equally many n-grams of the corpus.
+        self.cuts = np.searchsorted(total, total[-1] * np.arange(1, PARTS, dtype=np.uint64) // np.uint64(PARTS), side="right").astype(np.uint32)
+        # A cell stands out if it has much more than the average; its n-grams are dealt over salts.
+        often = max(TOGETHER, 4 * int(total[-1] // CELLS))
+        hot = np.flatnonzero(counts > often)
+        self.hot, self.dealt = hot, np.append(-(-counts[hot].astype(np.int64) // often), 1).astype(np.int32)
+
+    def cells(self, elements: np.ndarray) -> np.ndarray:
+        return (elements & np.uint64(CELLS - 1)).astype(np.int64)
+
+    def salts(self, elements: np.ndarray) -> np.ndarray:
+        cells = self.cells(elements)
+        at = np.searchsorted(self.hot, cells)
+        return np.where(np.append(self.hot, -1)[at] == cells, self.dealt[at], 1).astype(np.int32)
+
+    def first(self, elements: np.ndarray, n: int) -> np.ndarray:
+        """The indexes of the first ``n`` of the (sorted) elements, in order."""
+        place = self.place[self.cells(elements)]
+        if n < len(elements):
+            near = np.flatnonzero(place <= np.partition(place, n - 1)[n - 1])
+            return near[np.argsort(place[near], kind="stable")][:n]
+        return np.argsort(place, kind="stable")
+
+    def parts(self, elements: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, self.place[self.cells(elements)], side="right")
+
+
+def least(n: Column, m: Column, percent: int) -> Column:
+    """How many elements linked sets of sizes n and m have in common at least."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent)).cast("long")
+
+
+def leading(docs: DataFrame, order: Broadcast, k: int, percent: int) -> DataFrame:
+    """key, salt, salts, doc_id, n, place: the first elements of each set, those that several sets have."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Fragments(percent)
+        o: Order = order.value
         for batch in batches:
             for b in slices(batch, most=shingles.SLICE_BYTES):
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                key, of, n, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
                 for i, s in zip(ids, shingles.sets(text_array(b.column("text")), k)):
                     if len(s):
-                        keys.append(cut.keys(s, shared.value))
-                        of.append(np.full(len(keys[-1]), i, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of))], ["key", "doc_id"])
+                        first = o.first(s, len(s) - -(-percent * len(s) // 100) + 1)
+                        key.append(s[first])
+                        of.append(np.full(len(first), i, np.int64))
+                        n.append(np.full(len(first), len(s), np.int32))
+                        place.append(np.arange(len(first), dtype=np.int32))
+                key, of = np.concatenate(key), np.concatenate(of)
+                salts = o.salts(key)
+                salt = (shingles.mixed(of.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), salt, salts, of, np.concatenate(n), np.concatenate(place))], ["key", "salt", "salts", "doc_id", "n", "place"])
+
+    rows = docs.mapInArrow(trimmed(run), "key long, salt int, salts int, doc_id long, n int, place int")
+    rows = rows.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy("key", "salt")))
+    return rows.filter("salts > 1 or _here > 1").drop("_here")
+
+
+def _can_link(n: str, place: str, m: str, other: str, percent: int) -> Column:
+    """Whether an element at these places can be the first that linked sets of sizes n and m have in common."""
+    common = least(F.col(n), F.col(m), percent)
+    return (F.col(place) <= F.col(n) - common) & (F.col(other) <= F.col(m) - common)
 
-    rows = docs.mapInArrow(trimmed(run), "key long, doc_id long")
-    rows = rows.withColumn("hub", F.min("doc_id").over(Window.partitionBy("key")))
-    return rows.filter("hub <> doc_id").select("hub", F.col("doc_id").alias("member")).distinct()
+
+def _inner(percent: int) -> Column:
+    """Whether a row can be the smaller set's (or one of equal size): each pair that can be linked has such a row."""
+    return F.col("place") <= F.col("n") - least(F.col("n"), F.col("n"), percent)
+
+
+def _pairs(rows: DataFrame, hubs: DataFrame, n_hubs: int, percent: int, different: bool) -> DataFrame:
+    """hub, member: each once, either way round; ``hubs``: h_key, hub, h_n, h_place, h_salts, h_component of some rows in ``rows``."""
+    spread = hubs.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.col("h_salts") - 1)))
+    met = rows.join(_small(spread, n_hubs), (F.col("key") == F.col("h_key")) & (F.col("salt") == F.col("h_salt")))
+    met = met.filter((F.col("hub") != F.col("doc_id")) & _can_link("h_n", "h_place", "n", "place", percent))
+    if different:
+        met = met.filter("h_component <> component")
+    once = met.groupBy(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).agg(F.min("hub").alias("hub"))
+    return once.select("hub", F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("member"))
 
 
 def _dealt(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
@@ -174,136 +204,59 @@ def _dealt(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
     return docs.join(wanted, docs["doc_id"] == wanted["id"]).select("text", "hub", "salt", "role", "id")
 
 
-def common(a: list[np.ndarray], b: list[np.ndarray], same: np.ndarray) -> np.ndarray:
-    """The number of common elements of each set in ``a`` with each in ``b``; ``same``: which of ``b`` a set in ``a`` is (-1: none)."""
-    total = np.zeros((len(a), len(b)), np.float32)
-    of_a, of_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    in_a, in_b = np.concatenate(a), np.concatenate(b)
-    every, at = np.unique(np.concatenate([in_a, in_b]), return_inverse=True)
-    at_a, at_b = at[: len(in_a)], at[len(in_a) :]
-    n_a, n_b = np.bincount(at_a, minlength=len(every)), np.bincount(at_b, minlength=len(every))
-    # An element that one set alone has on either side counts if these are two sets.
-    whose = np.full(len(every), -2)
-    whose[at_b] = of_b
-    alone = np.zeros(len(every), bool)
-    alone[at_a] = whose[at_a] == same[of_a]
-    used = np.flatnonzero((n_a > 0) & (n_b > 0) & ~(alone & (n_a == 1) & (n_b == 1)))
-    column = np.full(len(every), -1)
-    column[used] = np.arange(len(used))
-    at_a, at_b = column[at_a], column[at_b]
-    for start in range(0, len(used), COLUMNS):
-        x, y = (np.zeros((len(s), COLUMNS), np.float32) for s in (a, b))
-        for m, at, of in ((x, at_a, of_a), (y, at_b, of_b)):
-            own = (at >= start) & (at < start + COLUMNS)
-            m[of[own], at[own] - start] = 1
-        total += x @ y.T
-    return total
-
-
-def across(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """u, v: the links between members of a hub of different components, one of which isn't linked to the hub.
-
-    ``members``: hub, member, n, linked, component.
-    """
-    bounded_batches(docs.sparkSession)
-    size = members.groupBy("hub").agg(
-        *(F.greatest(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_ELEMENTS), F.ceil(F.count_if(c) / BLOCK_SETS)).cast("int").alias(o) for c, o in ((~F.col("linked"), "left"), (F.lit(True), "right")))
-    )
-    placed = members.join(size.filter("left > 0"), "hub")
-    deal = lambda n: F.pmod(F.xxhash64("member", F.lit(5)), n).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lefts = placed.filter(~F.col("linked")).select("hub", "member", "component", F.lit(0).alias("role"), deal("left").alias("i"), span("right").alias("j"))
-    rights = placed.select("hub", "member", "component", F.lit(1).alias("role"), deal("right").alias("j"), span("left").alias("i"))
-    wanted = materialise(lefts.unionByName(rights))
-    wanted_n = wanted.count()
-    rows = docs.join(_small(wanted, wanted_n), docs["doc_id"] == wanted["member"]).select("text", "hub", "i", "j", "role", "member", "component")
-    names = ["hub", "i", "j", "role", "member", "component"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, most=shingles.SLICE_BYTES):
-                raw = [s.tobytes() for s in shingles.sets(text_array(b.column("text")), k)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "elements"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block() -> pa.RecordBatch:
-            (ids_a, comp_a, a), (ids_b, comp_b, b) = sides
-            out: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
-            if a and b:
-                ia, ib = np.array(ids_a), np.array(ids_b)
-                where = {x: n for n, x in enumerate(ids_b)}
-                both = common(a, b, np.array([where.get(x, -1) for x in ids_a])).astype(np.int64)
-                total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
-                link = (100 * both >= percent * (total - both)) & (np.array(comp_a)[:, None] != np.array(comp_b)) & (ia[:, None] != ib)
-                x, y = np.nonzero(link)
-                out = [np.minimum(ia[x], ib[y]), np.maximum(ia[x], ib[y])]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["u", "v"])
-
-        sides: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
-        at = None
-        for b in batches:
-            for hub, i, j, role, member, component, raw in zip(*(b.column(c).to_pylist() for c in [*names, "elements"])):
-                if (hub, i, j) != at:
-                    if at is not None:
-                        yield block()
-                    at, sides = (hub, i, j), [([], [], []), ([], [], [])]
-                for held, x in zip(sides[role], (member, component, np.frombuffer(raw, np.uint64))):
-                    held.append(x)
-        if at is not None:
-            yield block()
-
-    order = ["hub", "i", "j"]
-    parts = rows.mapInArrow(trimmed(cut), "hub long, i int, j int, role int, member long, component long, elements binary")
-    return parts.repartition(*order).sortWithinPartitions(*order).mapInArrow(trimmed(judge), "u long, v long").distinct()
-
-
-def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, k: int) -> DataFrame:
+def overlaps(docs: DataFrame, pairs: DataFrame, n_pairs: int, order: Broadcast, k: int) -> DataFrame:
     """hub, member, n_hub, n_member, overlap of each pair in ``pairs`` (hub, member)."""
     rows = _dealt(docs, pairs, n_pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.uint64(64 - PARTS.bit_length() + 1)
-        bounds = np.arange(1, PARTS, dtype=np.uint64) << bits
         for batch in batches:
             for b in slices(batch, most=shingles.SLICE_BYTES):
-                parts, n = [], []
-                for s in shingles.sets(text_array(b.column("text")), k):
-                    at = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
-                    parts += [s[x:y].tobytes() for x, y in zip(at, at[1:])]
+                first, second, n = [], [], []
+                for s, t in shingles.wide_sets(text_array(b.column("text")), k):
+                    part = order.value.parts(s)
+                    by = np.argsort(part, kind="stable")
+                    s, t = s[by], t[by]
+                    at = np.searchsorted(part[by], np.arange(PARTS + 1)).tolist()
+                    first += [s[x:y].tobytes() for x, y in zip(at, at[1:])]
+                    second += [t[x:y].tobytes() for x, y in zip(at, at[1:])]
                     n.append(len(s))
                 row = np.repeat(np.arange(b.num_rows), PARTS)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(pa.array(row)) for c in ("hub", "salt", "role", "id")), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(n, PARTS).astype(np.int64)), pa.array(parts, pa.binary())],
-                    ["hub", "salt", "role", "id", "part", "n", "elements"],
+                    [*(b.column(c).take(pa.array(row)) for c in ("hub", "salt", "role", "id")), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(n, PARTS).astype(np.int64)), pa.array(first, pa.binary()), pa.array(second, pa.binary())],
+                    ["hub", "salt", "role", "id", "part", "n", "first", "second"],
                 )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches:
             out = []
-            for hub, part, salt, role, i, n, raw in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "salt", "role", "id", "n", "elements"))):
-                own = np.frombuffer(raw, np.uint64)
+            for hub, part, salt, role, i, n, *raw in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "salt", "role", "id", "n", "first", "second"))):
+                own = tuple(np.frombuffer(x, np.uint64) for x in raw)
+                if at != (hub, part, salt):
+                    at, held = (hub, part, salt), []
                 if role == 0:
-                    if at != (hub, part, salt):
-                        at, held = (hub, part, salt), []
                     held.append((n, own))
                     continue
-                for n_hub, other in held:
-                    small, large = (own, other) if len(own) < len(other) else (other, own)
-                    if len(large):
-                        spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        out.append((hub, i, n_hub, n, int((large[spot] == small).sum())))
-                    else:
-                        out.append((hub, i, n_hub, n, 0))
+                out += [(hub, i, n_hub, n, common(own, other)) for n_hub, other in held]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["hub", "member", "n_hub", "n_member", "overlap"])
 
-    order = ["hub", "part", "salt"]
-    parts = rows.mapInArrow(trimmed(cut), "hub long, salt int, role int, id long, part int, n long, elements binary")
-    parts = parts.repartition(*order).sortWithinPartitions(*order, "role")
+    by = ["hub", "part", "salt"]
+    parts = rows.mapInArrow(trimmed(cut), "hub long, salt int, role int, id long, part int, n long, first binary, second binary")
+    parts = parts.filter("octet_length(first) > 0").repartition(*by).sortWithinPartitions(*by, "role")
     partial = parts.mapInArrow(trimmed(count), "hub long, member long, n_hub long, n_member long, overlap long")
     return partial.groupBy("hub", "member", "n_hub", "n_member").agg(F.sum("overlap").alias("overlap"))
 
 
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many elements both sets have; each is given by two hashes, sorted by the first."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0
+    spot = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return int(((b[0][spot] == a[0]) & (b[1][spot] == a[1])).sum())
+
+
 def _mark(text_col: str) -> Column:
     """Tells the texts of one id apart."""
     return F.xxhash64(F.col(text_col)).alias("mark")
@@ -329,6 +282,8 @@ def _numbered(rows: DataFrame) -> DataFrame | None:
 
 def _links(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Rows (doc_id, n), links between nodes (u, v), and the numbered nodes."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col}: ids must be integers")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col))
     surveyed = materialise(survey(given, k))
     counts = corpus_counts(surveyed)
@@ -355,20 +310,48 @@ def _links(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
         chosen = chosen.select("doc_id", "text")
 
     # 2. and 3.
-    pairs = materialise(candidates(chosen, counts, k, percent))
+    order = docs.sparkSession.sparkContext.broadcast(Order(counts))  # CELLS numbers
     linked = 100 * F.col("overlap") >= percent * (F.col("n_hub") + F.col("n_member") - F.col("overlap"))
-    counted = materialise(overlaps(chosen, pairs, pairs.count(), k).withColumn("linked", linked))
-    links = counted.filter("linked").select(F.col("hub").alias("u"), F.col("member").alias("v"))
+
+    def judged(pairs: DataFrame, n: int) -> DataFrame:
+        found = overlaps(chosen, pairs, n, order, k).filter(linked)
+        return materialise(found.select(F.col("hub").alias("u"), F.col("member").alias("v")))
+
+    shared = materialise(leading(chosen, order, k, percent))
+    hub = F.min(F.when(_inner(percent), F.struct("place", "doc_id", "n"))).alias("h")
+    hubs = shared.groupBy("key").agg(hub, F.max("salts").alias("h_salts"), F.count(F.lit(1)).alias("times")).filter("h is not null and times > 1")
+    hubs = materialise(hubs.select(F.col("key").alias("h_key"), F.col("h.doc_id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.place").alias("h_place"), "h_salts", "times"))
+    n_hubs = hubs.count()
+    tested = materialise(_pairs(shared, hubs.drop("times"), n_hubs, percent, False))
+    links = [judged(tested, tested.count())]
 
     # 4.
-    members = counted.select("hub", "member", F.col("n_member").alias("n"), "linked")
-    outside = members.filter(~F.col("linked"))
-    if not outside.isEmpty():
-        found = components(links)
-        inner = members.join(found, members["member"] == found["node"], "left")
-        inner = materialise(inner.select("hub", "member", "n", "linked", F.coalesce("component", "member").alias("component")))
-        links = links.unionByName(across(chosen, inner, k, percent))
-    return rows.select("doc_id", "n"), links.unionByName(copies), numbered
+    many = hubs.filter("times > 2").select(F.col("h_key").alias("m_key"), "times")
+    deal = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) + 1) / (1 << 20)  # in (0, 1]
+    left = materialise(shared.join(_small(many, n_hubs), F.col("key") == F.col("m_key")).drop("m_key").withColumn("deal", deal))
+    columns, now, fresh = left.columns, FIRST_HUBS, True
+    while not left.isEmpty():
+        if fresh:
+            found = components(_union(links))
+        labelled = left.join(found, left["doc_id"] == found["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        apart = materialise(apart.filter("low <> high").select(F.col("key").alias("a_key")))
+        inside = materialise(labelled.join(_small(apart, apart.count()), F.col("key") == F.col("a_key")).drop("a_key"))
+        # Of a group's rows, those dealt up to a share have been hubs, those up to the next share are now.
+        share = lambda n: F.lit(float(n)) / F.col("times").cast("double")
+        new = inside.filter(_inner(percent) & (F.col("deal") <= share(now)) & (F.lit(now == FIRST_HUBS) | (F.col("deal") > share(now // MORE))))
+        new = materialise(new.select(F.col("key").alias("h_key"), F.col("doc_id").alias("hub"), F.col("n").alias("h_n"), F.col("place").alias("h_place"), F.col("salts").alias("h_salts"), F.col("component").alias("h_component")))
+        pairs = _pairs(inside, new, new.count(), percent, True)
+        known = tested.select(F.least("hub", "member").alias("k_u"), F.greatest("hub", "member").alias("k_v"))
+        pairs = materialise(pairs.join(known, (F.least("hub", "member") == F.col("k_u")) & (F.greatest("hub", "member") == F.col("k_v")), "left_anti"))
+        n_pairs = pairs.count()
+        fresh = n_pairs > 0
+        if fresh:
+            links.append(judged(pairs, n_pairs))
+            tested = tested.unionByName(pairs)
+        left = inside.filter(F.col("times") > now).select(*columns)  # of the others all rows have been hubs
+        now *= MORE
+    return rows.select("doc_id", "n"), _union([*links, copies]), numbered
 
 
 def _documents(frame: DataFrame, numbered: DataFrame | None, *columns: str) -> DataFrame:

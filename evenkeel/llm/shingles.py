@@ -12,22 +12,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from evenkeel.llm.arrow import buffers
 
 #: Texts of a slice; the arrays that stand for a slice take some hundred times that.
 SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
+#: Start of each of the two hashes of a word; the longest word in bytes that is hashed with the others.
+LANES, LONG_WORD = (0x243F6A8885A308D3, 0x13198A2E03707344), 1024
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 @lru_cache(maxsize=1)
 def _byte_table() -> tuple[np.ndarray, np.ndarray]:
-    low = np.arange(256, dtype=np.uint64)
+    low = np.arange(256, dtype=np.uint8)
     low[65:91] += 32
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
-    return low + np.uint64(1), space
+    return low, space
 
 
 _powers: list[np.ndarray] = []
@@ -54,21 +58,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and the n + 1 offsets of the texts' first words."""
+def word_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of all texts, start and end of all words in order, and the n + 1 offsets of the texts' first words."""
     data, at = buffers(texts)
     low, space = _byte_table()
-    if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     inside = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[at] = True
-    start = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])))
-    end = np.flatnonzero(inside & (cut[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-    power, inverse = _power(len(data))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(low[data] * power[: len(data)], dtype=np.uint64)])
-    value = (total[end] - total[start]) * inverse[start]
-    return mixed(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(start, at)
+    start = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])[: len(data)]))
+    end = np.flatnonzero(inside & (cut[1:] | np.concatenate([~inside[1:], [True]])[: len(data)])) + 1
+    return low[data], start, end, np.searchsorted(start, at)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes of the words: their bytes go in by eight, each time mixed; words of eight bytes or less never collide."""
+    length = end - start
+    hashes = mixed(length.astype(np.uint64) + np.uint64(LANES[lane]))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    at = np.flatnonzero(length <= LONG_WORD)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), LANES[lane])
+    done = 0
+    while len(at):
+        rest = np.minimum(length[at] - done, 8)
+        chunk = eight[start[at] + done] & _MASKS[rest]
+        hashes[at] = mixed(hashes[at] ^ (chunk * np.uint64(BASE)))
+        done += 8
+        at = at[length[at] > done]
+    return hashes
+
+
+def word_hashes(texts: pa.Array, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and the n + 1 offsets of the texts' first words."""
+    data, start, end, at = word_bounds(texts)
+    return _hashed(data, start, end, lane), at
 
 
 def sequences(words: np.ndarray, k: int) -> np.ndarray:
@@ -91,3 +115,20 @@ def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield sequences(words[a:b], b - a)
         else:
             yield every[:0]
+
+
+def wide_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``sets``, with a second hash of each shingle: 128 bits, for what must not go wrong by a collision."""
+    data, start, end, at = word_bounds(texts)
+    lanes = [_hashed(data, start, end, lane) for lane in (0, 1)]
+    every = [sequences(words, k) for words in lanes]
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        first, second = (h[a : b - k + 1] for h in every) if b - a >= k else (sequences(w[a:b], b - a) if b > a else every[0][:0] for w in lanes)
+        order = np.argsort(first)
+        first, second = first[order], second[order]
+        fresh = np.append(True, first[1:] != first[:-1])[: len(first)]
+        if (again := ~fresh).any() and (second[again] != second[np.flatnonzero(again) - 1]).any():  # different shingles of one first hash
+            order = np.lexsort((second, first))
+            first, second = first[order], second[order]
+            fresh = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        yield first[fresh], second[fresh]

@@ -1,7 +1,6 @@
 """Small tables with the awkward cases, each operator against brute force."""
 
 import hashlib
-import json
 import random
 import re
 import time
@@ -370,9 +369,11 @@ def brute_components(rows, percent=85):
 @pytest.mark.parametrize("seed", range(3))
 def test_ngram_join(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "PAIRS_A_TASK", 7)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(ngram_join, "TOGETHER", 5)
+    monkeypatch.setattr(ngram_join, "FIRST_HUBS", 1)
+    monkeypatch.setattr(ngram_join, "MORE", 2)
     rng = random.Random(seed)
-    rows = AWKWARD[:9] + AWKWARD[11:]
+    rows = [*AWKWARD]
     passage = [f"p{i}" for i in range(40)]
     for family in range(6):
         base = [f"f{family}w{rng.randrange(500)}" for _ in range(rng.choice((3, 6, 20, 60, 150)))]
@@ -407,6 +408,52 @@ def test_ngram_join_repeated_rows_and_ids_with_several_texts(spark):
 
 def test_ngram_join_empty(spark):
     assert ngram_join.classes(table(spark, [])).count() == 0
+    assert {r.component_id for r in ngram_join.classes(table(spark, [(1, None), (2, ""), (None, None)])).collect()} == {1, 2, None}
+    with pytest.raises(TypeError):
+        ngram_join.classes(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_ngram_join_is_not_misled_by_words_that_weak_hashes_mix_up(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "one two three " + word), (2, "one two three " + other), (3, "ONE two\tthree " + word)]
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(table(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def chained(n, common=40, own=5):
+    """Texts in one passage with own words in the middle: near the threshold, many in a group and few of them linked."""
+    rng = random.Random(n)
+    base = [f"b{i}" for i in range(common)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(common), rng.randrange(own)):
+            words[at] = f"o{rng.randrange(3)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("first,more", [(1, 2), (8, 8)])
+def test_ngram_join_groups_with_many_components(spark, monkeypatch, first, more):
+    monkeypatch.setattr(ngram_join, "FIRST_HUBS", first)
+    monkeypatch.setattr(ngram_join, "MORE", more)
+    rows = chained(150)
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(table(spark, rows)).collect()}
+    assert got == brute_components(rows) and 3 < len(set(got.values())) < 150
+
+
+def test_ngram_join_work_grows_in_proportion(spark, monkeypatch):
+    """Documents that share four fifths of their text, none of them linked, bring no pairs but chance ones."""
+    tested = []
+    judge = ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda docs, pairs, n, order, k: (tested.append(n), judge(docs, pairs, n, order, k))[1])
+    passage = " ".join(f"p{i}" for i in range(80))
+    for n in (1000, 20_000):
+        tested.clear()
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(passage), F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), i.cast("string"))).cast("array<string>")).alias("text"))
+        assert ngram_join.classes(docs).filter("component_id <> doc_id").isEmpty() and sum(tested) <= n // 10
 
 
 def test_shingles():
