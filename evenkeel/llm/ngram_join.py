@@ -50,7 +50,7 @@ BROADCAST_ROWS = 500_000
 #: Pairs of one hub that a task works on.
 PAIRS_A_TASK = 2000
 #: Rows of a group that stay together; hubs of a group in the second round, and how many times as many in each further one.
-TOGETHER, FIRST_HUBS, MORE = 4096, 8, 8
+TOGETHER, FIRST_HUBS, MORE = 4096, 16, 64
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
