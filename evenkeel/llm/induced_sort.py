@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from evenkeel.llm.shingles import BASE, _power, mixed
-
 
 def falling(text: np.ndarray) -> np.ndarray:
     """Of each position: whether its suffix is larger than the next one's (the empty one is the smallest)."""
@@ -24,15 +22,18 @@ def falling(text: np.ndarray) -> np.ndarray:
     return np.repeat(larger[ends], np.diff(ends, prepend=-1))
 
 
-class Hashes:
-    """Hashes of substrings, from sums over prefixes."""
-
-    def __init__(self, text: np.ndarray):
-        power, self.inverse = _power(len(text))
-        self.total = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(BASE))
+def equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the substrings of ``text`` (16-bit characters) from a and from b on, of ``size`` characters, are the same."""
+    four = np.ndarray((len(text) + 1,), "<u8", np.append(text, np.zeros(4, np.uint16)).astype("<u2"), 0, (2,))  # the four characters from each place on
+    masks = np.array([(1 << 16 * n) - 1 for n in range(5)], np.uint64)
+    same, at, done = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(at):
+        rest = size[at] - done
+        differ = (four[a[at] + done] ^ four[b[at] + done]) & masks[np.minimum(rest, 4)] != 0
+        same[at[differ]] = False
+        at = at[~differ & (rest > 4)]
+        done += 4
+    return same
 
 
 def induced(text: np.ndarray, fall: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -88,9 +89,11 @@ def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         rough = rough[is_lms[rough]]
         rank = np.searchsorted(lms, rough)
         end = np.append(lms[1:] + 1, n)
-        own = Hashes(text).of(lms, end)[rank]
+        begin, size = lms[rank], (end - lms)[rank]
+        same = size[1:] == size[:-1]
+        same &= equal(text, begin[1:], begin[:-1], np.where(same, size[1:], 0))
         name = np.empty(len(lms), np.int64)
-        name[rank] = np.append(0, np.cumsum(own[1:] != own[:-1]))
+        name[rank] = np.append(0, np.cumsum(~same))
         # Recursion: the string of names, each at least two characters long, is ordered by doubling.
         step, reach = 1, 2
         while name.max() + 1 < len(lms) and reach < depth:
@@ -103,6 +106,6 @@ def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     return induced(text, fall, lms)
 
 
-def agree(hashes: Hashes, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+def agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Whether the common prefix of the suffixes a and b has ``depth`` characters or more; both must have as many."""
-    return hashes.of(a, a + depth) == hashes.of(b, b + depth)
+    return equal(text, a, b, np.full(len(a), depth))

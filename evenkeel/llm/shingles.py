@@ -22,7 +22,6 @@ BASE = 0x9E3779B97F4A7C15
 #: Start of each of the two hashes of a word; the longest word in bytes that is hashed with the others.
 LANES, LONG_WORD = (0x243F6A8885A308D3, 0x13198A2E03707344), 1024
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 @lru_cache(maxsize=1)
@@ -34,24 +33,6 @@ def _byte_table() -> tuple[np.ndarray, np.ndarray]:
     return low, space
 
 
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i up to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n, SLICE_BYTES) + 1
-        made = []
-        for base in (BASE, BASE_INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if n > SLICE_BYTES:  # of one very long text: not kept
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

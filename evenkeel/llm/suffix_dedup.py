@@ -13,10 +13,17 @@ a repeated string:
    ``SHARD`` bytes at the borders of grams. In each shard the suffixes are sorted by induction; windows
    whose suffixes agree to ``LENGTH`` bytes are one class, of which the first stays.
 
-Shards are bounded: the runs of a gram with many different ones are dealt further by where in the
-run a window starts and by the window's hash. Strings are judged on the input; matches never cross
-documents. Null texts are empty. Of equal ids the texts are ordered by their hash; repeated rows (one
-id, one text) are the same document and get the same result. Null ids count as largest.
+Runs are the same if two 64-bit hashes of their bytes are; in shards, bytes are compared. A task remembers
+runs that came again, and passes on later ones as known to be repeated, so a passage that all documents
+have costs some rows per task. Shards are bounded: the runs of a gram with many different ones are cut into
+windows, dealt further by where in the run a window starts and by its bytes; of equal windows each task
+passes on the first ones only.
+
+Strings are judged on the input; matches never cross documents. Null texts are empty. Of equal ids the
+texts are ordered by their hash; repeated rows (one id, one text) are the same document and get the same
+result. Null ids count as largest, all of them as one. Texts are read whole, very long ones in pieces. An
+empty table gives no rows; further columns are ignored, whatever their names. Ids must be integers
+(``TypeError``).
 """
 
 from __future__ import annotations
@@ -26,17 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evenkeel.llm import induced_sort
 from evenkeel.llm.arrow import bounded_batches, buffers, slices, trimmed
-from evenkeel.llm.shingles import mixed
+from evenkeel.llm.shingles import BASE, LANES, mixed
 from evenkeel.sources.scratch import materialise
 
 LENGTH, GRAM = 100, 36
 #: Bytes worked on at once in step 2 (with an overlap), bytes of a shard, and different runs of a gram that stay together.
 PIECE, SHARD, TOGETHER = 1 << 20, 2 << 20, 4000
+#: Runs, and windows, that a task remembers to tell later ones that equal them.
+REMEMBERED = 100_000
 #: A side of a join is broadcast up to so many rows (some tens of MB), counted before; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
@@ -46,17 +57,39 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
+
+
+def grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hashes of all substrings of ``gram`` bytes (8 or more), each from two shorter ones that cover it."""
+    own, size = mixed(_eights(data)[: len(data) - 7]), 8
+    while size < gram:
+        shift = min(size, gram - size)
+        own = mixed(own[:-shift] + own[shift:] * np.uint64(BASE))
+        size += shift
+    return own
+
+
+def spans(eights: np.ndarray, start: np.ndarray, length: int, lane: int) -> np.ndarray:
+    """One of two hashes of the ``length`` bytes from each ``start`` on."""
+    own = np.full(len(start), LANES[lane], np.uint64)
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        own = mixed(own ^ (eights[start + at] * np.uint64(BASE)))
+    return own
+
+
 def runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the texts in ``data`` (offsets ``at``): gram hash, run hash, text, first window, further windows, place of the gram in the run."""
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+    """Of the texts in ``data`` (offsets ``at``): gram hash, two run hashes, text, first window, further windows, place of the gram in the run."""
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     n = len(data)
     if n < length:
         return none
-    hashes = induced_sort.Hashes(data)
-    start = np.arange(n - gram + 1)
+    hashes = grams(data, gram)
     bits = np.uint64(max(n, 1).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
-    picked = (hashes.of(start, start + gram) & ~low) | start.astype(np.uint64)
+    picked = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     wide, reach = length - gram + 1, 1
     while reach < wide:  # the smallest of ``wide`` neighbours
         step = min(reach, wide - reach)
@@ -73,7 +106,38 @@ def runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
     lo, hi, p, of = window[first], window[last], place[first], text[first]
-    return hashes.of(p, p + gram), mixed(hashes.of(lo, hi + length) ^ (p - lo).astype(np.uint64)), of, lo - at[of], hi - lo, p - lo
+    # A run is all covered by its first and its last window.
+    eights, shape = _eights(data), ((hi - lo) << 16 | (p - lo)).astype(np.uint64)
+    run = [mixed(spans(eights, lo, length, lane) + np.uint64(BASE) * mixed(spans(eights, hi, length, lane) ^ shape)) for lane in (0, 1)]
+    return hashes[p], *run, of, lo - at[of], hi - lo, p - lo
+
+
+class Seen:
+    """Runs that a task has come across more than once, a bounded number, with their first place so far."""
+
+    def __init__(self):
+        self.gram, self.run, self.other = (np.zeros(0, np.uint64) for _ in range(3))
+        self.doc, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, gram: np.ndarray, run: np.ndarray, other: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of the runs an equal one of this task is earlier than, for certain."""
+        order = np.lexsort((start, doc, other, run, gram))
+        sure = np.zeros(len(gram), bool)
+        sure[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (run[order[1:]] == run[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+        heads = order[:-1][sure[order[1:]] & ~sure[order[:-1]]]
+        if len(self.run):
+            at = np.minimum(np.searchsorted(self.run, run), len(self.run) - 1)
+            known = ~sure & (self.run[at] == run) & (self.gram[at] == gram) & (self.other[at] == other)
+            sure |= known & ((doc > self.doc[at]) | ((doc == self.doc[at]) & (start > self.start[at])))
+            heads = np.union1d(heads, np.flatnonzero(known))
+        if len(heads):
+            every = [np.concatenate([new[heads], old]) for new, old in ((gram, self.gram), (run, self.run), (other, self.other), (doc, self.doc), (start, self.start))]
+            every = [x[: 2 * REMEMBERED] for x in every]
+            order = np.lexsort((every[4], every[3], every[2], every[0], every[1]))
+            every = [x[order] for x in every]
+            fresh = np.append(True, (every[1][1:] != every[1][:-1]) | (every[0][1:] != every[0][:-1]) | (every[2][1:] != every[2][:-1]))
+            self.gram, self.run, self.other, self.doc, self.start = (x[fresh] for x in every)
+        return sure
 
 
 def repeated(texts: list[bytes], order: list[tuple], length: int) -> list[tuple[int, int, int]]:
@@ -90,7 +154,7 @@ def repeated(texts: list[bytes], order: list[tuple], length: int) -> list[tuple[
     found, text = found[whole], text[whole]
     if not len(found):
         return []
-    same = induced_sort.agree(induced_sort.Hashes(joined), found[1:], found[:-1], length)
+    same = induced_sort.agree(joined, found[1:], found[:-1], length)
     group = np.append(0, np.cumsum(~same))
     document = np.array([o[0] for o in order], np.int64)[text]
     place = np.array([o[1] for o in order], np.int64)[text] + found - at[text]
@@ -108,6 +172,8 @@ def repeated(texts: list[bytes], order: list[tuple], length: int) -> list[tuple[
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """A row per row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, spans (array of first, end)."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col}: ids must be integers")
     kind = docs.schema[id_col].dataType.simpleString()
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -132,23 +198,23 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     # 2. Runs of windows by gram.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for b in slices(batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").cast(pa.large_binary())), most=PIECE, raw=True):
                 doc, alt = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "alt"))
                 data, at = buffers(b.column("text"))
                 for base, piece, bounds, first in pieces(data, at, length):
-                    a, c, of, lo, more, p = runs(piece, bounds, length, gram)
+                    g, run, other, of, lo, more, p = runs(piece, bounds, length, gram)
                     start, owner = (alt[of + first] << 40) + lo + base, doc[of + first]
-                    # Runs that an earlier one of this slice equals are known to be repeated; they are dealt by document.
-                    order = np.lexsort((start, owner, c, a))
-                    sure = np.zeros(len(a), bool)
-                    sure[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-                    a = np.where(sure, mixed(owner.astype(np.uint64)), a)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(sure), pa.array(c.view(np.int64)), pa.array(owner), pa.array(start), pa.array(more.astype(np.int16)), pa.array(p.astype(np.int16))], ["gram", "sure", "run", "doc", "start", "more", "place"])
-
-    made = texts.select("doc", "alt", "text").mapInArrow(trimmed(cut), "gram long, sure boolean, run long, doc long, start long, more short, place short")
+                    # Runs known to be repeated are dealt by document.
+                    sure = seen.later(g, run, other, owner, start)
+                    g = np.where(sure, mixed(owner.astype(np.uint64)), g)
+                    columns = [g.view(np.int64), sure, run.view(np.int64), other.view(np.int64), owner, start, more.astype(np.int16), p.astype(np.int16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "sure", "run", "other", "doc", "start", "more", "place"])
+
+    made = texts.select("doc", "alt", "text").mapInArrow(trimmed(cut), "gram long, sure boolean, run long, other long, doc long, start long, more short, place short")
     of_gram = Window.partitionBy("gram", "sure")
-    of_run = Window.partitionBy("gram", "sure", "run").orderBy("doc", "start")
+    of_run = Window.partitionBy("gram", "sure", "run", "other").orderBy("doc", "start")
     ranked = made.withColumns({"_n": F.count(F.lit(1)).over(of_gram), "_low": F.min("run").over(of_gram), "_high": F.max("run").over(of_gram)}).filter("sure or _n > 1")
     ranked = ranked.withColumn("_rank", F.row_number().over(of_run)).filter("sure or _rank > 1 or _low <> _high")
     first = (F.col("_rank") == 1) & ~F.col("sure")
@@ -164,28 +230,41 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "part", "doc", "start", "bytes"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        out: list[tuple] = []
+        first_seen: dict[tuple, tuple[int, int]] = {}  # window of a gram with very many runs: its first place so far
         for b in batches:
-            out: list[tuple] = []
-            for doc, raw, wanted in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "asked"))):
-                for w in wanted:
-                    at, start = w["start"] & ((1 << 40) - 1), w["start"]
-                    if w["n"] <= TOGETHER:
-                        out.append((w["gram"], 0, doc, start, raw[at : at + w["more"] + length]))
-                        continue
-                    parts = 1 + w["n"] // TOGETHER
-                    for k in range(w["more"] + 1):
-                        window = raw[at + k : at + k + length]
-                        deal = int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little") % parts
-                        out.append((w["gram"], 1 + (w["place"] - k) * parts + deal, doc, start + k, window))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            asked = b.column("asked")
+            bounds = asked.offsets.to_pylist()
+            for i, (doc, raw) in enumerate(zip(b.column("doc").to_pylist(), b.column("text").to_pylist())):
+                for step in range(bounds[i], bounds[i + 1], 10_000):
+                    wanted = asked.values.slice(step, min(10_000, bounds[i + 1] - step))
+                    for g, n, place, start, more in zip(*(wanted.field(c).to_pylist() for c in ("gram", "n", "place", "start", "more"))):
+                        at = start & ((1 << 40) - 1)
+                        if n <= TOGETHER:
+                            out.append((g, 0, doc, start, raw[at : at + more + length]))
+                            continue
+                        parts = 1 + n // TOGETHER
+                        for k in range(more + 1):
+                            window = raw[at + k : at + k + length]
+                            here, before = (doc, start + k), first_seen.get((g, place - k, window))
+                            if before is not None and before <= here:
+                                if before < here:
+                                    out.append((g, -1, *here, None))  # repeated, whatever else there is
+                                continue
+                            if len(first_seen) >= REMEMBERED:
+                                first_seen.clear()
+                            first_seen[(g, place - k, window)] = here
+                            deal = int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little") % parts
+                            out.append((g, 1 + (place - k) * parts + deal, *here, window))
+                    if len(out) > 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard() -> pa.RecordBatch:
-            found = repeated(held, order, length)
+            found = repeated(held, order, length) if held else []
             columns = [[order[t][0] for t, _, _ in found], [order[t][1] + a for t, a, _ in found], [z - a for _, a, z in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "more"])
 
@@ -193,6 +272,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         order: list[tuple] = []
         size, at = 0, None
         for b in batches:
+            known = b.filter(pc.less(b.column("part"), 0))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column("doc"), known.column("start"), pa.array(np.zeros(known.num_rows, np.int64))], ["doc", "start", "more"])
+                b = b.filter(pc.greater_equal(b.column("part"), 0))
             for g, part, doc, start, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "part", "doc", "start", "bytes"))):
                 if (g, part) != at and size >= SHARD:
                     yield shard()
@@ -204,7 +287,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         if held:
             yield shard()
 
-    sent = source.mapInArrow(trimmed(fetch), "gram long, part long, doc long, start long, bytes binary").repartition("gram", "part").sortWithinPartitions("gram", "part")
+    # Windows known to be repeated need no order; they are dealt evenly.
+    sent = source.mapInArrow(trimmed(fetch), "gram long, part long, doc long, start long, bytes binary")
+    sent = sent.withColumn("gram", F.when(F.col("part") < 0, F.xxhash64("doc", "start")).otherwise(F.col("gram"))).repartition("gram", "part").sortWithinPartitions("gram", "part")
     gone = gone.unionByName(sent.mapInArrow(trimmed(judge), "doc long, start long, more long"))
 
     # The union of the windows, as spans of bytes.

@@ -113,21 +113,23 @@ def brute_spans(rows, length):
     return out
 
 
-@pytest.mark.parametrize("together,shard", [(4000, 1 << 20), (2, 600)])
-def test_suffix_dedup(spark, monkeypatch, together, shard):
+@pytest.mark.parametrize("together,shard,remembered", [(4000, 1 << 20, 100_000), (2, 600, 100_000), (2, 600, 3)])
+def test_suffix_dedup(spark, monkeypatch, together, shard, remembered):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", remembered)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     rng = random.Random(4)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     passage = " ".join(rng.choice(words) for _ in range(60))
-    rows = list(AWKWARD[:9]) + AWKWARD[11:]
+    long = LONG[:20_000]
+    rows = [*AWKWARD[:9], (10, long), (11, long), *AWKWARD[11:], (None, passage), (None, "n " + passage)]
     for i in range(40):
         own = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
         rows.append((50 + i, " ".join(own[:20]) + (" " + passage[rng.randrange(100) :] if i % 2 else "") + " " + " ".join(own[20:])))
     rows += [(100, "ab" * 300), (101, "c" * 250), (102, passage), (103, passage[:150] + "!" + passage[151:])]
-    rows = [(i, t) for i, t in rows if i is not None]
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, tuple(map(tuple, r.spans))) for r in suffix_dedup.report(table(spark, rows)).collect())
-    raw = [(i, (t or "").encode()) for i, t in rows]
+    last = suffix_dedup.LAST  # null ids
+    got = sorted((last if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, tuple(map(tuple, r.spans))) for r in suffix_dedup.report(table(spark, rows)).collect())
+    raw = [(last if i is None else i, (t or "").encode()) for i, t in rows]
     want = []
     for (i, t), spans in zip(raw, brute_spans(raw, 100)):
         kept, at = b"", 0
@@ -136,6 +138,48 @@ def test_suffix_dedup(spark, monkeypatch, together, shard):
         want.append((i, len(t), sum(z - a for a, z in spans), len(spans), sha(kept + t[at:]), tuple(spans)))
     assert got == sorted(want)
     assert suffix_dedup.report(table(spark, [])).count() == 0
+    with pytest.raises(TypeError):
+        suffix_dedup.report(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_suffix_dedup_is_not_misled_by_strings_that_weak_hashes_mix_up(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word[:1024] + "x" * 10), (2, word[1024:] + "y" * 10), (3, "z" + word[:1024])]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.report(table(spark, rows)).collect()}
+    assert got == dict(zip((1, 2, 3), brute_spans([(i, t.encode()) for i, t in rows], 100)))
+
+
+def test_suffix_dedup_parts_stay_small(spark, monkeypatch):
+    """One passage in all documents, in different surroundings: what is sorted together doesn't grow with them."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 50)
+    made = {}
+    for n in (500, 4000):
+        rng = random.Random(3)
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+        rows = [(i, f"{rng.random()}" + passage + f"{rng.random()}") for i in range(n)]
+        sizes, frame = [], type(spark.range(1))
+        old = frame.sortWithinPartitions
+        monkeypatch.setattr(frame, "sortWithinPartitions", lambda df, *by: (sizes.append(df.filter("part >= 0").groupBy("gram", "part").count().agg(F.max("count")).first()[0]) if "part" in df.columns else None, old(df, *by))[1])
+        got = suffix_dedup.report(table(spark, rows)).agg(F.sum("n_removed")).first()[0]
+        monkeypatch.setattr(frame, "sortWithinPartitions", old)
+        assert got >= 400 * (n - 1)
+        made[n] = max(sizes)
+    assert made[4000] <= 2 * made[500] <= 400
+
+
+def test_gram_hashes_cover_all_bytes():
+    rng = np.random.default_rng(1)
+    for gram in (8, 11, 16, 30, 36, 47):
+        data = rng.integers(0, 256, 90).astype(np.uint8)
+        base = suffix_dedup.grams(data, gram)
+        assert len(base) == 90 - gram + 1
+        for at in range(90):
+            other = data.copy()
+            other[at] ^= 1
+            changed = suffix_dedup.grams(other, gram) != base
+            assert changed.tolist() == [i <= at < i + gram for i in range(len(base))]
 
 
 @pytest.mark.parametrize("piece", [1 << 20, 300])
