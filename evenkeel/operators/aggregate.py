@@ -24,8 +24,13 @@ def sorted_group(updates: DataFrame, spec: ValueSpec, key: str = "key") -> DataF
     return group(updates, spec, key).orderBy(key)
 
 
-def last_of_run(updates: DataFrame, key: str, order: list[str], totals: dict[str, Column]) -> DataFrame:
-    """The window form: running ``totals`` over each run of equal keys, of which the last row stays."""
+def last_of_run(updates: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
+    """What the last row of each run of equal keys has when ``totals`` run over it: aggregates, merged on the map side first."""
+    return updates.groupBy(key).agg(*(c.alias(n) for n, c in totals.items()))
+
+
+def last_of_run_in_order(updates: DataFrame, key: str, order: list[str], totals: dict[str, Column]) -> DataFrame:
+    """The window form, for totals that depend on the order: a key's rows meet in one task."""
     run = Window.partitionBy(key).orderBy(*order)
     back = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
     rows = updates.withColumns({n: c.over(run) for n, c in totals.items()} | {"_back": F.row_number().over(back)})

@@ -1,12 +1,20 @@
 """A keyed histogram: append, lookups with and without removal, and readouts of fixed length.
 
-State is a table of merged rows (tag, epoch, key, value fields) in the shared folder, one version per
-commit; a commit merges the pending updates in one aggregation. Tags are computed on merged rows only.
+State is a table of merged rows (key, value fields, epoch) in the shared folder, one version per commit; a
+commit merges the pending updates in one aggregation. Files are ordered by key, so that a lookup reads the
+row groups around its key only. Keys that were taken out are left out by a filter until the next commit
+writes the state anyway. Tags are computed on merged rows only.
+
+With a controller a commit checks for growth as often as its updates would have, while they came in: its
+new keys are taken in pieces of the target size, which doubles as the histogram does, and keys that come
+after a growth are of the next epoch. However large a frame, that is some checks and one new version of the state.
+
 Fixed lengths bound what is returned, not what memory is touched: this is no side-channel protection.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +28,10 @@ from evenkeel.operators.resize import Controller
 from evenkeel.sources.scratch import materialise
 
 
+#: Keys taken out that are left out by a filter; then the state is written anew.
+MOST_GONE = 100
+
+
 @dataclass
 class Histogram:
     """A single histogram of capacity 2^height * z; updates have a column ``key`` and the fields of ``spec``."""
@@ -36,36 +48,71 @@ class Histogram:
     epoch: int = 0
     controller: Controller | None = None
     grown: int = 0
+    watched: int = 1  # the controller looks at the first of so many shards
 
     def __post_init__(self):
         self.secret = self.secret or keys.new_key()
         self.height = sizing.tree_height(self.capacity, self.z)
         self._pending: list[DataFrame] = []
         self._state: DataFrame | None = None
+        self._stand_for: list[int | None] = []
+        self._gone: list[bytes] = []  # keys that are left out of what the state's files hold
 
     # Updates
 
-    def append(self, updates: DataFrame) -> None:
-        """Adds updates; they are merged at the next commit. Null or overlong keys make that fail."""
+    def append(self, updates: DataFrame, stands_for: int | None = None) -> None:
+        """Adds updates; they are merged at the next commit. Null or overlong keys make that fail.
+
+        Merged rows stand for more updates, which the controller counts.
+        """
         rows = keys.checked(updates.select("key", *self.spec.names), "key", self.key_bytes)
         self._pending.append(rows.withColumn("key", keys.pad("key", self.key_bytes)).withColumn("epoch", F.lit(self.epoch).cast("smallint")))
+        self._stand_for.append(stands_for)
 
     def flush(self) -> None:
         """Nothing: a single histogram has no batches."""
 
     def commit(self) -> DataFrame:
         """Merges what is pending; the state: key, value fields, epoch, one row per key."""
-        if self._pending or self._state is None:
-            parts = self._pending + ([self._state] if self._state is not None else [])
-            if not parts:
-                return self._empty()
-            rows = parts[0]
-            for p in parts[1:]:
-                rows = rows.unionByName(p)
-            self._state = materialise(group(rows, self.spec, "key", "epoch"))
-            self._pending = []
+        if self._state is None and not self._pending:
+            return self._empty()
+        if self._pending:
+            rows = functools.reduce(DataFrame.unionByName, self._pending)
+            if self.controller is not None:
+                rows = self._staged(rows)
+            if self._state is not None:
+                rows = rows.unionByName(self._state)
+            self._state = materialise(group(rows, self.spec, "key", "epoch").sortWithinPartitions("key"))
+            self._pending, self._stand_for, self._gone = [], [], []
         return self._state
 
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` merged, with the epochs that they get if the histogram grows while they come in."""
+        merged = rows.groupBy("key").agg(*self.spec.aggregates(), F.min("epoch").alias("epoch"), F.count(F.lit(1)).alias("_updates"))
+        merged = materialise(merged.withColumns({"tag": self.tag(), "_deal": (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) + 1) / (1 << 30)}))
+        updates = sum(self._stand_for) if None not in self._stand_for else merged.agg(F.sum("_updates")).first()[0] or 0
+        self.controller.waiting += updates // self.watched
+        new = merged if self._state is None else merged.join(self._state.select("key"), "key", "left_anti")
+        watch = keys.shard(F.col("tag"), self.watched) == 0
+        new = materialise(new.filter(watch).select("tag", "_deal"))
+        keys_new, since, came, failed, epochs = max(1, new.count()), 0.0, 0, 0, []
+        while self.controller.due and came < keys_new:
+            came = min(keys_new, came + (self.controller.t_capacity << max(0, failed - 1)))
+            upto, failed = came / keys_new, failed + 1
+            seen = new.filter((F.col("_deal") > since) & (F.col("_deal") <= upto)).select("tag")
+            if not epochs and self._state is not None:
+                seen = seen.unionByName(self._state.filter(F.col("epoch") == self.epoch).select(self.tag().alias("tag")).filter(watch))
+            if self.controller.check(seen, self.height):
+                epochs.append((upto, self.epoch))
+                since, failed = upto, 0
+                self._double()
+        epoch = F.lit(self.epoch) if epochs else F.col("epoch")
+        for upto, e in reversed(epochs):
+            epoch = F.when(F.col("_deal") <= upto, F.lit(e)).otherwise(epoch)
+        # All keys are in: what is left of the updates would be checked on the same rows again.
+        self.controller.waiting %= self.controller.k * self.controller.interval
+        return merged.withColumn("epoch", epoch.cast("smallint")).drop("tag", "_deal", "_updates")
+
     def _empty(self) -> DataFrame:
         kinds = ", ".join(f"{f.name} {'decimal(20,0)' if f.merge == 'wrap64' else f.type}" for f in self.spec.fields)
         return self.spark.createDataFrame([], f"key binary, {kinds}, epoch smallint")
@@ -95,7 +142,10 @@ class Histogram:
     def pop_total(self, key: bytes) -> DataFrame:
         """As ``peek_total``; the key is gone afterwards."""
         value = materialise(self.peek_total(key))
-        self._state = materialise(self.commit().filter(F.col("key") != F.lit(self._wanted(key))))
+        self._gone.append(self._wanted(key))
+        self._state = self.commit().filter(F.col("key") != F.lit(self._wanted(key)))
+        if len(self._gone) >= MOST_GONE:
+            self._state, self._gone = materialise(self._state), []
         return value
 
     # Readouts
@@ -104,22 +154,20 @@ class Histogram:
     def readout_len(self) -> int:
         return sizing.readout_len(self.height, self.z, self.stash)
 
-    def _within(self, rows: DataFrame, length: int) -> DataFrame:
+    def _padded(self, order: list) -> DataFrame:
+        rows = self.tagged()
         n = rows.count()
-        if n > length:
-            raise shape.CapacityExceeded(f"{n} keys, the readout has {length} slots")
-        return rows
+        if n > self.readout_len:
+            raise shape.CapacityExceeded(f"{n} keys, the readout has {self.readout_len} slots")
+        return shape.padded(shape.ranks(rows, order), self.readout_len, n)
 
     def readout(self) -> DataFrame:
         """``readout_len`` rows, the real ones first, ordered by key: slot, is_real, tag, epoch, key, value fields."""
-        rows = self._within(self.tagged(), self.readout_len)
-        return shape.padded(shape.ranks(rows, [F.col("key")]), self.readout_len)
+        return self._padded([F.col("key")])
 
     def readout_tree_aware(self) -> DataFrame:
         """The same rows in the order of routing bits, tag and key."""
-        rows = self._within(self.tagged(), self.readout_len)
-        order = [keys.routing_bits(F.col("tag")), F.shiftrightunsigned("tag", 32), F.col("key")]
-        return shape.padded(shape.ranks(rows, order), self.readout_len)
+        return self._padded([keys.routing_bits(F.col("tag")), F.shiftrightunsigned("tag", 32), F.col("key")])
 
     def into_readout_tree_aware(self) -> DataFrame:
         """As ``readout_tree_aware``; the state is empty afterwards."""
@@ -148,6 +196,9 @@ class Histogram:
     def grow(self) -> None:
         """Doubles the capacity; rows stay as they are, later ones are of the next epoch."""
         self.commit()
+        self._double()
+
+    def _double(self) -> None:
         self.height += 1
         self.grown += 1
         self.epoch = min(self.epoch + 1, 255)
@@ -158,10 +209,10 @@ class Histogram:
         self.controller = Controller(t_capacity, self.z, self.interval, self.height, eps, alpha, seed)
 
     def resize_if_due(self) -> bool:
-        """One epoch check of the controller on the committed state."""
+        """One check of the controller on the committed state, whatever it stands for; a commit makes those that are due."""
         if self.controller is None:
             return False
-        rows = self.tagged()
+        rows = self.tagged().filter(keys.shard(F.col("tag"), self.watched) == 0)
         grow = self.controller.check(rows.filter(F.col("epoch") == self.epoch), self.height)
         if grow:
             self.grow()

@@ -26,11 +26,11 @@ class DiscreteLaplace:
 
     def __init__(self, eps: float):
         if not (math.isfinite(eps) and eps > 0):
-            raise ValueError("epsilon must be finite and positive")
+            raise ValueError(f"eps is {eps}: it has to be a positive number")
         scale = 1 << PROBABILITY_BITS
         self.cutoff = math.floor(math.exp(-eps / 6) * scale) + 2  # rounded up: rather more noise than less
         if self.cutoff >= scale:
-            raise ValueError("epsilon is too small")
+            raise ValueError(f"eps is {eps}: the sampler can't represent so little")
         self.q = self.cutoff / scale
         self.trials = math.ceil((STATISTICAL_BITS + 1) * math.log(2) / -math.log(self.q))
 
@@ -57,6 +57,7 @@ class Controller:
     alpha: float = 0.05
     seed: int = 0
     evicted: int = 0
+    waiting: int = 0  # updates since the last check
     resizes: int = 0
     samples: int = 0
     trace: list[dict] = field(default_factory=list)
@@ -77,6 +78,11 @@ class Controller:
         units = math.floor((fixed - t / 2) / (leaves / self.k))
         self.threshold = units + self._draw() - self.noise.upper_quantile(self.alpha) - self.noise.upper_quantile((2 * self.alpha) ** ATTEMPTS)
 
+    @property
+    def due(self) -> bool:
+        """Whether the updates since the last check stand for ``k`` evictions, one for each ``interval`` of them."""
+        return self.waiting >= self.k * self.interval
+
     def check(self, state: DataFrame, height: int) -> bool:
         """Whether to grow, by the keys on the next ``k`` leaves; ``state`` has tags of the current epoch."""
         leaves = keys.eviction_leaves(height, self.evicted, self.k)
@@ -85,6 +91,7 @@ class Controller:
 
     def decide(self, seen: int, height: int) -> bool:
         self.evicted += self.k
+        self.waiting = max(0, self.waiting - self.k * self.interval)
         grow = seen + self._draw() > self.threshold
         self.trace.append({"height": height, "k": self.k, "seen": seen, "threshold": self.threshold, "grow": grow})
         return grow
@@ -92,12 +99,13 @@ class Controller:
     def on_grown(self, height: int) -> None:
         self.resizes += 1
         self.t_capacity *= 2
+        self.height = height
         self._set(height)
 
     # State that survives a restart: a replay draws the same noise again.
 
     def save(self) -> dict:
-        return {"t_capacity": self.t_capacity, "evicted": self.evicted, "resizes": self.resizes, "samples": self.samples, "threshold": self.threshold, "k": self.k}
+        return {"t_capacity": self.t_capacity, "evicted": self.evicted, "waiting": self.waiting, "height": self.height, "resizes": self.resizes, "samples": self.samples, "threshold": self.threshold, "k": self.k}
 
     def restore(self, saved: dict) -> None:
         self.rng = random.Random(self.seed)

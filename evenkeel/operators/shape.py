@@ -1,8 +1,8 @@
 """Outputs whose number of rows is fixed by public parameters.
 
-Padding is a join of ranked rows with a grid of slots made by ``range``, so it is spread over tasks at
-any length. Global ranks come from ``ranks``: a count per range partition, then ranks within each, so no
-task sees all rows. Nothing is cut to fit: more rows than slots is an error.
+Padding is a union of ranked rows with the slots that are left, made by ``range``, so it is spread over
+tasks at any length and shuffles nothing. Global ranks come from ``ranks``: a count per range partition,
+then places within each, so no task sees all rows. Nothing is cut to fit: more rows than slots is an error.
 """
 
 from __future__ import annotations
@@ -33,21 +33,24 @@ class SubtreeReadoutOverflow(ValueError):
         self.max_load, self.inbox_len, self.subtree_count = max_load, inbox_len, subtree_count
 
 
-def ranks(rows: DataFrame, order: list[Column], out: str = "slot") -> DataFrame:
-    """``rows`` with their number from 0 on in the order of ``order``.
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """``rows``, written once, with their number from 0 on: partition after partition, in the order within each.
 
-    Rows are range-partitioned and written once; the partitions' sizes are summed (a row per partition).
+    The partitions' sizes are summed, a row per partition; nothing is shuffled.
     """
+    held = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    size = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.broadcast(size.select("_p", before.alias("_before")))  # a row per partition
+    return held.join(size, part == F.col("_p")).withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_p", "_before")
+
+
+def ranks(rows: DataFrame, order: list[Column], out: str = "slot") -> DataFrame:
+    """``rows`` with their number from 0 on in the order of ``order``: one shuffle, by range, and a sort in each partition."""
     names = [f"_o{i}" for i in range(len(order))]
-    dealt = rows.withColumns(dict(zip(names, order))).repartitionByRange(*names)
-    dealt = materialise(dealt.withColumn("_part", F.spark_partition_id()))
-    size = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    size = size.select(F.col("_part").alias("_p"), before.alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*names)) - 1
-    # A row per partition.
-    out_rows = dealt.withColumn("_inner", inner).join(F.broadcast(size), F.col("_part") == F.col("_p"))
-    return out_rows.withColumn(out, F.col("_inner") + F.col("_before")).drop(*names, "_part", "_p", "_inner", "_before")
+    dealt = rows.withColumns(dict(zip(names, order))).repartitionByRange(*names).sortWithinPartitions(*names)
+    return numbered(dealt.drop(*names), out)
 
 
 def prefix_marks(rows: DataFrame, flag: Column, order: list[Column], out: str = "mark") -> DataFrame:
@@ -60,10 +63,17 @@ def prefix_marks(rows: DataFrame, flag: Column, order: list[Column], out: str =
     return numbered.withColumn("_own", own).join(counts, F.col("_block") == F.col("_b")).withColumn(out, (F.col("_own") + F.col("_earlier")).cast("bigint")).drop("_at", "_block", "_b", "_own", "_earlier")
 
 
-def padded(rows: DataFrame, length: int, slot: str = "slot", real: str = "is_real") -> DataFrame:
-    """Exactly ``length`` rows, slots 0 to length - 1; the others' columns are null and ``is_real`` false."""
-    grid = rows.sparkSession.range(length).select(F.col("id").alias(slot))
-    return grid.join(rows.withColumn(real, F.lit(True)), slot, "left").withColumn(real, F.coalesce(real, F.lit(False)))
+def padded(rows: DataFrame, length: int, n: int | None = None, slot: str = "slot", real: str = "is_real") -> DataFrame:
+    """Exactly ``length`` rows, slots 0 to length - 1, for ranked ``rows`` (``n`` if known): the slots after theirs have nulls and ``is_real`` false."""
+    n = rows.count() if n is None else n
+    if n > length:
+        raise CapacityExceeded(f"{n} rows, {length} slots")
+    return _with_empty(rows, rows.sparkSession.range(n, length).select(F.col("id").alias(slot)), real)
+
+
+def _with_empty(rows: DataFrame, slots: DataFrame, real: str) -> DataFrame:
+    """``rows`` and, with nulls in all other columns, ``slots``: a union, nothing is shuffled."""
+    return rows.withColumn(real, F.lit(True)).unionByName(slots.withColumn(real, F.lit(False)), allowMissingColumns=True)
 
 
 def padded_groups(rows: DataFrame, group: str, groups: int, length: int, order: list[Column], slot: str = "slot", real: str = "is_real") -> DataFrame:
@@ -72,10 +82,11 @@ def padded_groups(rows: DataFrame, group: str, groups: int, length: int, order:
     ``length`` is the caller's fixed quota, so no group's window holds more than that.
     """
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    placed = rows.withColumn("_slot", F.col(group).cast("bigint") * length + place).drop(group)
-    grid = rows.sparkSession.range(groups * length).select(F.col("id").alias("_slot"))
-    out = grid.join(placed.withColumn(real, F.lit(True)), "_slot", "left").withColumn(real, F.coalesce(real, F.lit(False)))
-    return out.withColumns({group: F.floor(F.col("_slot") / length).cast("int"), slot: F.pmod("_slot", F.lit(length)).cast("bigint")}).drop("_slot")
+    placed = rows.withColumns({group: F.col(group).cast("int"), slot: place.cast("bigint")})
+    # The empty slots follow from the groups' sizes, a row per group.
+    span = F.explode(F.sequence(F.col("load"), F.lit(length - 1)))
+    empty = loads(rows, group, groups).filter(F.col("load") < length).select(group, span.alias(slot))
+    return _with_empty(placed, empty, real)
 
 
 def loads(rows: DataFrame, group: str, groups: int, out: str = "load") -> DataFrame:

@@ -1,11 +1,13 @@
 """The sharded histogram: keys are dealt to shards by tag, batches have fixed quotas.
 
-A flush is one aggregation: partial by input partition, exchange by key, final. Shards are a column, so
+A flush is one aggregation: partial by input partition, exchange by batch and key, final; a frame of many
+batches is flushed at once, with the quota checked for each. Shards are a column, so
 readouts by shard are padded per group, and partitions by shard only where files per shard are asked for.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -40,6 +42,8 @@ class ShardedHistogram:
     key_bytes: int = keys.KEY_BYTES
     secret: bytes | None = None
     prf: str = "aes"
+    #: What a flush does with its merged rows (key, value fields, shard, _batch) before they are kept: rows of the same columns.
+    step: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
         if self.shards < 1 or self.shards & (self.shards - 1):
@@ -49,41 +53,51 @@ class ShardedHistogram:
         self._all = Histogram(self.spark, max(1, self.capacity // self.shards), self.spec, self.z, self.stash, self.interval, self.key_bytes, self.secret, self.prf)
         self._waiting: list[DataFrame] = []
         self._rows = 0
+        self._start = self.capacity
         self.last_loads: DataFrame | None = None
-        self.controller: Controller | None = None
 
     # Updates
 
     def append(self, updates: DataFrame) -> None:
-        """Adds updates; a full batch is flushed. A larger frame counts as several batches' worth in one flush each."""
-        rows = keys.checked(updates.select("key", *self.spec.names), "key", self.key_bytes)
-        self._waiting.append(rows)
-        self._rows += updates.count()
+        """Adds updates, in the order of the frame; each full batch is flushed, whatever the frames' sizes."""
+        rows = keys.checked(updates.select("key", *self.spec.names), "key", self.key_bytes).withColumn("key", keys.pad("key", self.key_bytes))
+        rows = shape.numbered(rows, "_row").withColumn("_row", F.col("_row") + self._rows)
+        n = rows.count()
+        if n:
+            self._waiting.append(rows)
+            self._rows += n
         if self._rows >= self.batch:
-            self.flush()
+            self._flush(self._rows // self.batch * self.batch)
 
     def increment_blocks(self, blocks: DataFrame) -> None:
         """Adds prepared rows, such as those of another histogram's export."""
         self.append(blocks.select("key", *self.spec.names))
 
     def flush(self) -> None:
-        """Merges what waits, checks that no shard's share of a batch is over its quota, then resizes if due."""
-        if not self._waiting:
-            return
-        rows = self._waiting[0]
-        for r in self._waiting[1:]:
-            rows = rows.unionByName(r)
-        merged = materialise(group(rows.withColumn("key", keys.pad("key", self.key_bytes)), self.spec))
-        routed = merged.withColumn("shard", keys.shard(self._all.tag(), self.shards))
-        self.last_loads = shape.loads(routed, "shard", self.shards)
-        batches = max(1, -(-self._rows // self.batch))
-        load = shape.max_load(routed, "shard")
-        if load > self.quota * batches:
-            raise shape.QuotaOverflow(load, self.quota * batches)
-        self._all.append(merged)
+        """Merges what waits, also where it isn't a full batch."""
+        if self._waiting:
+            self._flush(self._rows)
+
+    def _flush(self, n: int) -> None:
+        """Merges the first ``n`` updates, batch by batch in one aggregation, checks each batch's quota, then resizes if due."""
+        rows = functools.reduce(DataFrame.unionByName, self._waiting)
+        now = rows.filter(F.col("_row") < n) if n < self._rows else rows
+        batches = -(-n // self.batch)
+        batch = F.floor(F.col("_row") / self.batch).cast("bigint") if batches > 1 else F.lit(0).cast("bigint")
+        merged = now.withColumn("_batch", batch).groupBy("_batch", "key").agg(*self.spec.aggregates())
+        routed = materialise(merged.withColumn("shard", keys.shard(self._all.tag(), self.shards)))
+        if self.step is not None:
+            routed = materialise(self.step(routed))
+        self.last_loads = shape.loads(routed.filter(F.col("_batch") == batches - 1), "shard", self.shards)
+        load = routed.groupBy("_batch", "shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if load > self.quota:
+            raise shape.QuotaOverflow(load, self.quota)
+        # A key has a row for each batch here; the commit merges them.
+        self._all.append(routed, n)
         self._all.commit()
-        self._waiting, self._rows = [], 0
-        self._resize()
+        self.capacity = self._start << self._all.grown
+        self._rows -= n
+        self._waiting = [rows.filter(F.col("_row") >= n).withColumn("_row", F.col("_row") - n)] if self._rows else []
 
     def fixed_batch(self, updates: DataFrame) -> DataFrame:
         """What one flush would send: exactly ``quota`` slots for each shard, after merging."""
@@ -98,20 +112,16 @@ class ShardedHistogram:
 
     def enable_auto_resize(self, t_capacity: int, eps: float = 1.0, alpha: float = 0.05, seed: int = 0) -> None:
         target = sizing.deflated_per_shard_resize_target(t_capacity, self.shards, self.z)
-        self.controller = Controller(target, self.z, self.interval, self._all.height, eps, alpha, seed)
+        self._all.enable_auto_resize(target, eps, alpha, seed)
+        self._all.watched = self.shards
 
-    def _resize(self) -> None:
-        if self.controller is None:
-            return
-        rows = self.routed().filter((F.col("shard") == 0) & (F.col("epoch") == self._all.epoch))
-        if self.controller.check(rows, self._all.height):
-            self.grow()
+    @property
+    def controller(self) -> Controller | None:
+        return self._all.controller
 
     def grow(self) -> None:
         self._all.grow()
-        if self.controller:
-            self.controller.on_grown(self._all.height)
-        self.capacity *= 2
+        self.capacity = self._start << self._all.grown
 
     # Lookups
 

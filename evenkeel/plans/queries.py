@@ -170,7 +170,7 @@ def epoch_min_merge(spark, sf):
 @query("SELECT o_custkey, total FROM (SELECT o_custkey, sum(round(o_totalprice * 100)::bigint)::bigint AS total FROM orders GROUP BY 1)")
 def run_merge(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
-    return aggregate.last_of_run(rows, "o_custkey", ["o_orderkey"], {"total": F.sum("cents")})
+    return aggregate.last_of_run(rows, "o_custkey", {"total": F.sum("cents")})
 
 
 @query("SELECT c_custkey, rpad(substr(hex(encode(c_name)), 1, 32), 32, '0') AS key FROM customer")
@@ -361,16 +361,41 @@ def distribute_slots(spark, sf):
     return shape.distributed(ranked, slots)
 
 
-@query(f"SELECT key, {VALUES}, 1 AS epoch FROM ({FLOWS}) WHERE packet_count > 0")
+@query(f"SELECT f.key, {', '.join('f.' + n for n in FIELDS)}, e.epoch FROM ({FLOWS}) f JOIN (SELECT rpad(hex(encode(user_id::varchar)), 32, '0') AS key, min(1 + event_id % 2)::int AS epoch FROM events GROUP BY 1) e USING (key)")
 def grown_epoch_merge(spark, sf):
-    """Half the stream before growing and half after: a key has its earliest epoch."""
+    """The events with even numbers before growing, the others after: a key has its earliest epoch."""
     h = Histogram(spark, CAPACITY, FLOW, Z, STASH, secret=SECRET, epoch=1)
-    h.append(events(spark, sf))
+    rows = table(spark, sf, "events")
+    h.append(flow_columns(rows.filter("event_id % 2 = 0")))
     h.grow()
-    h.append(events(spark, sf).filter("false"))
+    h.append(flow_columns(rows.filter("event_id % 2 = 1")))
     return shown(h.commit(), "key", *FIELDS, "epoch").withColumn("epoch", F.col("epoch").cast("int"))
 
 
+@query(_grid(f"SELECT *, row_number() OVER (ORDER BY shard, key) - 1 AS slot FROM ({ROUTED})", SHARDS * LENGTH))
+def sharded_batches(spark, sf):
+    """One frame of many batches of 256 updates, each of which has to keep to its quota."""
+    h = ShardedHistogram(spark, SHARDS, CAPACITY * SHARDS, 256, spec=FLOW, z=Z, stash=STASH, secret=SECRET, prf="sha")
+    h.append(events(spark, sf))
+    return shown(h.readout(), "slot", *TAIL)
+
+
+@query("SELECT o_custkey, bit_xor(o_orderkey)::bigint AS mixed, max(round(o_totalprice * 100)::bigint) AS most FROM orders GROUP BY 1")
+def user_merge(spark, sf):
+    """Fields merged by aggregate functions that the caller names."""
+    rows = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").cast("bigint").alias("mixed"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("most"))
+    return aggregate.group(rows, ValueSpec((Field("mixed", F.bit_xor), Field("most", F.max))), "o_custkey")
+
+
+@query("SELECT count(*) AS occupancy FROM (SELECT DISTINCT user_id FROM events)")
+def auto_growth_holds_a_frame(spark, sf):
+    """A histogram much too small for its one frame grows until the frame's readout fits."""
+    h = Histogram(spark, 16, counter("packet_count"), 4, STASH, secret=SECRET, prf="sha")
+    h.enable_auto_resize(8, seed=7)
+    h.append(events(spark, sf).select("key", "packet_count"))
+    return h.readout().filter("is_real").agg(F.count(F.lit(1)).alias("occupancy"))
+
+
 @query(FLOWS)
 def streamed_flow_record(spark, sf):
     """``events`` as a stream, merged batch by batch into versions of a state."""
@@ -418,11 +443,28 @@ def dp_growth_trace(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.lit(1).cast("bigint").alias("packet_count"), F.pmod("event_id", F.lit(4)).alias("b"))
     for b in range(4):
         h.append(rows.filter(F.col("b") == b).drop("b"))
-        h.resize_if_due()
+        h.commit()
     return spark.createDataFrame([(i, t["height"], t["k"], t["seen"], t["threshold"], t["grow"]) for i, t in enumerate(h.controller.trace)], "step int, height int, k int, seen bigint, threshold bigint, grow boolean")
 
 
-@query()
+#: Binomial terms of each size, summed from either end.
+SIZING_SQL = """
+WITH p AS (
+  SELECT b.range AS batch, m.range AS shards, t.range AS bits FROM (SELECT unnest([1024, 4096, 16384]) AS range) b, (SELECT unnest([4, 16]) AS range) m, (SELECT unnest([40, 80]) AS range) t
+), terms AS (
+  SELECT n, m, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - k * ln(m) + (n - k) * ln(1 - 1 / m)) AS x
+  FROM (SELECT n, m, unnest(range(0, n + 1)) AS k FROM (SELECT DISTINCT batch // 4 AS n, shards::double AS m FROM p UNION SELECT DISTINCT batch, shards FROM p))
+), tails AS (
+  SELECT n, m, k, sum(x) OVER (PARTITION BY n, m ORDER BY k DESC) AS up, sum(x) OVER (PARTITION BY n, m ORDER BY k) AS down FROM terms
+)
+SELECT batch::int AS batch, shards::int AS shards, bits::int AS bits,
+  (4 * (SELECT min(k) FROM tails WHERE n = batch // 4 AND m = shards AND k >= n // m AND up <= 2.0 ** -(bits + 2) / m))::int AS quota,
+  ((SELECT min(k) FROM tails WHERE n = batch AND m = shards AND k >= n // m AND up <= 2.0 ** -81 / m) - (SELECT max(k) FROM tails WHERE n = batch AND m = shards AND k <= n // m AND down <= 2.0 ** -81 / m))::int AS slack
+FROM p
+"""
+
+
+@query(SIZING_SQL)
 def sizing_table(spark, sf):
     rows = [(b, m, bits, sizing.suggested_per_shard_quota(b, m, bits), sizing.shard_coordination_slack(b // m, m)) for b in (1024, 4096, 16384) for m in (4, 16) for bits in (40, 80)]
     return spark.createDataFrame(rows, "batch int, shards int, bits int, quota int, slack int")

@@ -109,7 +109,84 @@ def test_overflows_are_errors(spark):
     s = ShardedHistogram(spark, 4, 256, 64, quota=8, z=4, secret=SECRET)
     with pytest.raises(shape.QuotaOverflow) as q:
         s.append(updates(spark, [(f"k{i}", 1) for i in range(80)]))
-    assert q.value.quota == 16 < q.value.max_load
+    assert q.value.quota == 8 < q.value.max_load
+
+
+def test_a_frame_is_flushed_in_batches(spark):
+    s = ShardedHistogram(spark, 2, 256, 8, quota=8, z=4, secret=SECRET)
+    s.append(updates(spark, [(f"k{i}", 1) for i in range(20)]).coalesce(1))  # 8 keys a batch at most, whatever the frame's size
+    assert s.pending == 4 and s._all.occupancy() == 16
+    s.append(updates(spark, [(f"k{i}", 1) for i in range(20, 23)]))
+    assert s.pending == 7 and s._all.occupancy() == 16
+    s.append(updates(spark, [("k0", 5)]))
+    assert s.pending == 0 and s.peek_total(b"k0").first().value == 6 and s.occupancy() == 23
+    tight = ShardedHistogram(spark, 1, 256, 16, quota=8, z=4, secret=SECRET)
+    tight.append(updates(spark, [(f"k{i % 8}", 1) for i in range(48)]).coalesce(1))
+    with pytest.raises(shape.QuotaOverflow) as q:
+        tight.append(updates(spark, [(f"k{i % 9}", 1) for i in range(48)]).coalesce(1))
+    assert (q.value.max_load, q.value.quota) == (9, 8)
+
+
+def test_flush_step(spark):
+    s = ShardedHistogram(spark, 2, 256, 64, z=4, secret=SECRET, step=lambda rows: rows.withColumn("value", F.least("value", F.lit(3))))
+    s.append(updates(spark, [("a", 2), ("a", 2), ("b", 1)]))
+    s.flush()
+    assert s.peek_total(b"a").first().value == 3 and s.peek_total(b"b").first().value == 1
+    s.increment_blocks(s.export_entries())
+    s.flush()
+    assert s.peek_total(b"a").first().value == 6
+
+
+def test_one_frame_grows_until_it_fits(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(1).cast("bigint").alias("value"))
+    for seed in range(3):
+        h = single(spark, capacity=64)
+        h.enable_auto_resize(32, seed=seed)
+        h.append(rows)
+        out = h.readout()
+        assert out.filter("is_real").count() == 5000 and out.count() == h.readout_len and h.grown >= 4
+        assert h.commit().select("epoch").distinct().count() > 3
+        grown = h.grown
+        h.append(rows)  # no new keys, no growth
+        assert h.occupancy() == 5000 and h.grown - grown <= 1
+    s = ShardedHistogram(spark, 4, 256, 64, z=4, secret=SECRET)
+    s.enable_auto_resize(128, seed=1)
+    s.append(rows)
+    assert s.readout().filter("is_real").count() == 5000 and s.capacity == 256 << s._all.grown
+
+
+def test_controller_survives_a_restart():
+    from evenkeel.operators.resize import Controller
+
+    one = Controller(100, 4, 20, 8, seed=3)
+    one.decide(5, 8)
+    one.on_grown(9)
+    two = Controller(100, 4, 20, 8, seed=3)
+    two.restore(one.save())
+    for seen in (3, 900, 40):
+        assert one.decide(seen, 9) == two.decide(seen, 9)
+    assert one.save() == two.save()
+
+
+def test_grouping_forms_agree(spark):
+    from evenkeel.operators import aggregate
+
+    rows = updates(spark, [(f"k{i % 7}", i) for i in range(100)]).withColumn("at", F.monotonically_increasing_id())
+    want = sorted((bytes(r.key), r.value) for r in aggregate.group(rows, counter()).collect())
+    assert [(bytes(r.key), r.value) for r in aggregate.sorted_group(rows, counter()).collect()] == want
+    for form in (aggregate.last_of_run(rows, "key", {"value": F.sum("value")}), aggregate.last_of_run_in_order(rows, "key", ["at"], {"value": F.sum("value")})):
+        assert sorted((bytes(r.key), r.value) for r in form.collect()) == want
+    state = aggregate.merge(aggregate.group(rows.filter("value < 50"), counter()), aggregate.group(rows.filter("value >= 50"), counter()), counter())
+    assert sorted((bytes(r.key), r.value) for r in state.collect()) == want
+
+
+def test_ranks_are_complete(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")).repartition(5)
+    got = shape.ranks(rows, [-F.col("v")]).collect()
+    assert sorted((r.slot, r.v) for r in got) == [(i, 999 - i) for i in range(1000)]
+    assert shape.padded(shape.ranks(rows.filter("v < 3"), [F.col("v")]), 5).count() == 5
+    with pytest.raises(shape.CapacityExceeded):
+        shape.padded(shape.ranks(rows, [F.col("v")]), 999)
 
 
 def test_hot_key_takes_one_slot(spark):
