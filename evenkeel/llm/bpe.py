@@ -4,7 +4,10 @@ Two tiers. A minimal perfect hash over the vocabulary resolves pre-tokens that a
 The others are merged over a linked list of their bytes, a heap giving the next pair: lowest rank
 first, leftmost on ties. A bounded memo of recent pre-tokens stands before both; it only saves time.
 
-Null texts count as empty; empty texts have no ids. Ids are unsigned 32-bit integers.
+Null texts count as empty; empty texts have no ids. Ids are unsigned 32-bit integers. Every row has its
+result, repeated ones too; an empty table gives none, further columns are ignored whatever their names.
+Texts are encoded whole: a very long one takes memory for all its pre-tokens, some tens of times its
+bytes. A table that lacks one of the 256 single bytes is refused (``ValueError``).
 """
 
 from __future__ import annotations
@@ -72,6 +75,8 @@ class Codec:
     """Encodes and decodes; small enough to be broadcast (its size is that of the vocabulary)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"the table lacks {len(missing)} of the 256 single bytes: it can't encode all texts")
         self.pattern = pattern
         self.tokens = list(ranks)
         self.ids = [ranks[t] for t in self.tokens]

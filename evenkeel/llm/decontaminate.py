@@ -98,7 +98,8 @@ def _report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     prints = spans.filter(F.col("length") == WINDOW).select("print", F.lit(1).alias("_in")).distinct()
     counted = cut.select("*", F.monotonically_increasing_id().alias("_row"))
     picked = winnowed(counted).select("_row", "_id", "_text_hash", F.size("words").alias("n_words"), F.explode_outer(F.array_distinct("picked")).alias("print"))
-    picked = picked.join(_small(prints, n_spans), "print", "left")
+    # Rows without a window are dealt evenly; should one meet a fingerprint by chance, the words decide below.
+    picked = picked.withColumn("print", F.coalesce("print", F.xxhash64("_row"))).join(_small(prints, n_spans), "print", "left")
     base = materialise(picked.groupBy("_row", "_id", "_text_hash", "n_words").agg(F.max("_in").alias("_in")))
     found = base.filter("_in = 1").select(F.col("_id").alias("_found"), F.col("_text_hash").alias("_found_hash")).distinct()
     n_found = found.count()

@@ -4,7 +4,10 @@ The term frequency is relative to the text's n-grams. The weights are learned by
 follow-the-regularised-leader with elastic-net penalties on a bounded sample, on the driver; a
 temperature is then fitted on the part of the sample that was held back. Every text is scored whole.
 
-Null texts and texts without a letter are ``und`` with score 0. Without labelled rows all are.
+Null texts and texts without a letter are ``und`` with score 0. Without labelled rows all are. Of languages
+with equal scores the first by name is predicted. Every row has its result, repeated ones the same; an
+empty table gives none, further columns are ignored whatever their names. Very long texts are read whole,
+each in a slice of its own.
 """
 
 from __future__ import annotations

@@ -43,15 +43,11 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.maximum(end - start, 1).astype(float)
     n_words = (last - first).astype(float)
     columns = [np.log1p(size), n_words / size]
-    letters = np.zeros(len(start))
-    for k, c in enumerate(CLASSES):
+    for c in CLASSES:
         member = np.zeros(256, np.int32)
         member[list(c)] = 1
         total = np.concatenate([[0], np.cumsum(member[data], dtype=np.int64)])
-        count = (total[end] - total[start]).astype(float)
-        if k < 2:
-            letters += count
-        columns.append(count / (np.maximum(letters, 1) if k == 0 else size) if k else count / size)
+        columns.append((total[end] - total[start]) / size)
     same = np.concatenate([[False], words[1:] == words[:-1]]) if len(words) else np.zeros(0, bool)
     run = np.concatenate([[0], np.cumsum(same)])
     columns.append((run[last] - run[first] - (same[first] if len(first) else 0)) / np.maximum(n_words, 1))

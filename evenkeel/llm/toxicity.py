@@ -6,7 +6,9 @@ isn't beyond ``LEAST_Z`` standard errors have none. Logistic regression with an
 scaled features. It is learned on a bounded labelled sample, on the driver; texts are scored whole.
 
 Null and empty texts get the score of a text without features. Without rows of both labels the score
-is the share of toxic ones (0 without any row).
+is 1 or 0, by the one label there is (0 without any row). Every row has its result, repeated ones the same,
+whatever its id; an empty table gives none, further columns are ignored (``scores``) or carried on
+(``keep_civil``) whatever their names. Very long texts are read whole, each in a slice of its own.
 """
 
 from __future__ import annotations

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -12,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, components, decontaminate, exact_dedup, html_text, induced_sort, language_id, ngram_join, oracle, quality_crf, queries, shingles, suffix_dedup, token_histogram, toxicity
+from evenkeel.llm import bpe, components, decontaminate, exact_dedup, html_text, induced_sort, language_id, ngram_join, oracle, quality_crf, queries, sample, shingles, suffix_dedup, token_histogram, toxicity
 from evenkeel.llm.arrow import text_array
 from tests.oracle import expected, rows_of
 
@@ -62,6 +64,11 @@ def test_bpe_against_tiktoken(spark):
     assert bpe.round_trip(table(spark, []), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_refuses_a_table_without_some_byte(spark):
+    with pytest.raises(ValueError):
+        bpe.round_trip(table(spark), {b"a": 0, b"b": 1, b"ab": 2}, P.PATTERN)
+
+
 def test_perfect_hash_is_minimal():
     whole = bpe.PerfectHash(list(RANKS)[:5000])
     assert sorted(whole.slots) == list(range(5000))
@@ -392,7 +399,7 @@ def word_sets(t, k=4):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def brute_components(rows, percent=85):
+def brute_components(rows, percent=85, k=4):
     ids = sorted({i for i, _ in rows if i is not None})
     up = {i: i for i in ids}
 
@@ -401,7 +408,7 @@ def brute_components(rows, percent=85):
             i = up[i]
         return i
 
-    known = [(i, word_sets(t)) for i, t in rows if i is not None]
+    known = [(i, word_sets(t, k)) for i, t in rows if i is not None]
     for n, (i, a) in enumerate(known):
         for j, b in known[:n]:
             if a and b and 100 * len(a & b) >= percent * len(a | b):
@@ -530,6 +537,104 @@ def test_components(spark, monkeypatch, few):
 # 7, 8 and 10
 
 
+def test_labelled_sample(spark, monkeypatch):
+    monkeypatch.setattr(sample, "BYTES", 1000)
+    rows = [(i, "x" * 90, "a", i) for i in range(30)] + [(7, "other", "b", 0), (None, "n", "c", 0), (31, None, "d", 0), (32, "y" * 1001, "e", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _label long").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(33)] + [(7, 5), (8, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = sample.labelled(docs, labels, "toxic", sample.remainder(F.col("doc_id"), 3) != 1)
+    assert got == sample.labelled(docs, labels, "toxic", sample.remainder(F.col("doc_id"), 3) != 1)
+    allowed = [i for i in range(33) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 9 <= len(got) <= 12 and sum(len(t) for t, _ in got) <= 1000 and {y for _, y in got} <= {0, 1, 5}
+    monkeypatch.setattr(sample, "BYTES", 1 << 20)
+    every = sample.labelled(docs, labels, "toxic", sample.remainder(F.col("doc_id"), 3) != 1)
+    assert len(every) == sum(i <= 30 and i < 30 or i == 32 for i in allowed) + (7 in allowed) and ("y" * 1001, 0) in every or 32 not in allowed
+    assert len(sample.labelled(docs, labels, "toxic", F.lit(True), rows=5)) == 5
+    assert sample.labelled(docs.filter("false"), labels, "toxic", F.lit(True)) == []
+
+
+def test_quality_gradient_against_differences():
+    """The gradient of training is that of the log likelihood of the labels, by finite differences."""
+    rng = np.random.default_rng(2)
+    at, moves, y = np.array([0, 3, 5]), rng.normal(size=(2, 2)), np.array([1, 0])
+    u = rng.normal(size=5)
+
+    def loss(u, moves):
+        total = 0.0
+        for (a, z), label in zip(zip(at, at[1:]), y):
+            paths = [[(n >> i) & 1 for i in range(z - a)] for n in range(1 << (z - a))]
+            w = [sum(u[a + i] * p for i, p in enumerate(path)) + sum(moves[s, t] for s, t in zip(path, path[1:])) for path in paths]
+            total += np.log(np.exp(w).sum()) - w[-1 if label else 0]
+        return total
+
+    good, expected = quality_crf.marginals(u, at, moves)
+    step = 1e-6
+    for i in range(5):
+        moved = u.copy()
+        moved[i] += step
+        assert (loss(moved, moves) - loss(u, moves)) / step == pytest.approx(good[i] - np.repeat(y, np.diff(at))[i], abs=1e-4)
+    seen = np.array([[1.0, 0], [0, 2.0]])  # the moves along the labels
+    for s, t in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        moved = moves.copy()
+        moved[s, t] += step
+        assert (loss(u, moved) - loss(u, moves)) / step == pytest.approx((expected - seen)[s, t], abs=1e-4)
+
+
+def test_quality_features_of_a_line():
+    x, length, at = quality_crf.lines(text_array(pa.array(["Ab ab! ab 12\n\n  \nx", None])))
+    assert at.tolist() == [0, 2, 3] and length.tolist() == [13, 1, 0]
+    line = x[0]
+    assert line[0] == pytest.approx(np.log1p(13)) and line[1] == pytest.approx(4 / 13)  # with its line feed
+    assert line[2] == pytest.approx(1 / 13) and line[3] == pytest.approx(5 / 13) and line[4] == pytest.approx(2 / 13) and line[6] == pytest.approx(1 / 13)
+    assert (x[2] == -1).all()
+
+
+def brute_grams(text, sizes):
+    points = [ord(c) for c in f" {text} "]  # each text stands between spaces
+    return [tuple(points[i : i + n]) for n in sizes for i in range(len(points) - n + 1)]
+
+
+def test_language_weights_against_brute_force():
+    """TF-IDF, the proximal step and the temperature, recomputed gram by gram."""
+    rows = [("aab", "p"), ("bba", "q"), ("abab", "p"), ("bb", "q")] * 6
+    model = language_id.fit(rows)
+    names, back = ["p", "q"], int(len(rows) * language_id.HELD_BACK)
+    grams = [Counter(brute_grams(t, language_id.SIZES)) for t, _ in rows]
+    df = Counter(g for c in grams for g in c)
+    idf = {g: np.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df.items()}
+    z, n2 = {}, {}
+    zb, nb = np.zeros(2), np.zeros(2)
+
+    def weight(z, n, l1):
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((language_id.BETA + np.sqrt(n)) / language_id.ALPHA + language_id.L2))
+
+    order = np.random.default_rng(0)
+    for _ in range(language_id.PASSES):
+        for i in order.permutation(np.arange(back, len(rows))):
+            total = sum(grams[i].values())
+            x = {g: language_id.SCALE * c / total * idf[g] for g, c in grams[i].items()}
+            w = {g: weight(z.get(g, np.zeros(2)), n2.get(g, np.zeros(2)), language_id.L1) for g in x}
+            wb = weight(zb, nb, 0.0)
+            s = wb + sum(w[g] * v for g, v in x.items())
+            d = np.exp(s - s.max())
+            d = d / d.sum()
+            d[names.index(rows[i][1])] -= 1
+            for g, v in x.items():
+                old = n2.get(g, np.zeros(2))
+                z[g] = z.get(g, np.zeros(2)) + v * d - (np.sqrt(old + (v * d) ** 2) - np.sqrt(old)) / language_id.ALPHA * w[g]
+                n2[g] = old + (v * d) ** 2
+            zb = zb + d - (np.sqrt(nb + d * d) - np.sqrt(nb)) / language_id.ALPHA * wb
+            nb = nb + d * d
+    for text in ("aab", "ba", "bbbb"):
+        c = Counter(brute_grams(text, language_id.SIZES))
+        want = weight(zb, nb, 0.0) + sum(language_id.SCALE * v / sum(c.values()) * weight(z[g], n2[g], language_id.L1) * idf[g] for g, v in c.items() if g in z)
+        assert model.logits(text_array(pa.array([text])))[0][0] == pytest.approx(want, rel=1e-4, abs=1e-5)
+    logits = np.array([model.logits(text_array(pa.array([t])))[0][0] for t, _ in rows[:back]])
+    loss = lambda t: -np.mean([np.log(language_id.softmax(x[None] / t)[0][names.index(y)]) for x, (_, y) in zip(logits, rows[:back])])
+    assert all(loss(model.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.05, 20, 60))
+
+
+
 def test_quality(spark):
     good = ["The cat sat here.\nIt was a calm day, and so on."] * 30
     bad = ["BUY!! NOW!! FREE!!\nWIN!! WIN!!"] * 30
@@ -653,7 +758,7 @@ def test_pipeline_against_brute_force(spark):
     for i, t in sorted(rows):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
     rows = list(first.values())
-    parts = brute_components(rows)
+    parts = brute_components(rows, 80, 5)
     rows = [(i, t) for i, t in rows if parts[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     bad = {r[0] for r in brute_report(rows, items) if r[5]}
@@ -667,6 +772,27 @@ def test_pipeline_against_brute_force(spark):
         assert stage.columns == docs.columns
 
 
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows, an empty table, further columns: rows stay or go whole."""
+    import corpus_pipeline
+
+    toxic = spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet").filter("toxic = 1").select("doc_id"), "doc_id").first().text
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).unionByName(table(spark, [*AWKWARD, (500, toxic)]), allowMissingColumns=True)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    rows = {name: f(spark, docs, FOLDER) for name, f in corpus_pipeline.STAGES[1:4]}
+    assert all(r.columns == docs.columns for r in rows.values())
+    assert rows["exact_dedup"].count() == len({norm(t) for _, t in [*AWKWARD, (0, toxic)]})
+    near = brute_components([*AWKWARD, (500, toxic)], 80, 5)
+    assert sorted((r.doc_id for r in rows["ngram_jaccard_join"].collect()), key=str) == sorted([i for i, _ in [*AWKWARD, (500, toxic)] if i is None or near[i] == i], key=str)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    assert rows["decontamination"].count() == sum(not r[5] for r in brute_report([*AWKWARD, (500, toxic)], items))
+    encoded = corpus_pipeline.encode(spark, docs, FOLDER)
+    assert encoded.count() == len(AWKWARD) + 1 and encoded.filter("doc_id = 4").first().n_tokens == 0
+    for _, f in corpus_pipeline.STAGES[1:]:
+        assert f(spark, docs.filter("false"), FOLDER).count() == 0
+    assert corpus_pipeline.drop_toxic(spark, docs.filter("false"), FOLDER).count() == 0
+
+
 def test_pipeline_near_copies_are_judged_on_five_words(spark):
     import corpus_pipeline
 
