@@ -145,7 +145,7 @@ def least(n: Column, m: Column, percent: int) -> Column:
 
 
 def leading(docs: DataFrame, order: Broadcast, k: int, percent: int) -> DataFrame:
-    """key, salt, salts, doc_id, n, place: the first elements of each set, those that several sets have."""
+    """key, salt, salts, doc_id, n, place: the first elements of each set. Rows of a key meet by salt, hot ones over ``salts``."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +166,21 @@ def leading(docs: DataFrame, order: Broadcast, k: int, percent: int) -> DataFram
                 salt = (shingles.mixed(of.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), salt, salts, of, np.concatenate(n), np.concatenate(place))], ["key", "salt", "salts", "doc_id", "n", "place"])
 
-    rows = docs.mapInArrow(trimmed(run), "key long, salt int, salts int, doc_id long, n int, place int")
-    rows = rows.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy("key", "salt")))
-    return rows.filter("salts > 1 or _here > 1").drop("_here")
+    return docs.mapInArrow(trimmed(run), "key long, salt int, salts int, doc_id long, n int, place int")
+
+
+def with_groups(rows: DataFrame, hot: bool, keep: str, **values: Column) -> DataFrame:
+    """``rows`` with aggregates over all rows of their key, of which ``keep`` stay: within tasks, but for hot keys, which are aggregated apart."""
+    together = Window.partitionBy("key", "salt")
+    out = rows.withColumns({name: value.over(together) for name, value in values.items()})
+    if not hot:
+        return materialise(out.filter(keep))
+    out = materialise(out.filter(f"salts > 1 or ({keep})"))
+    parts = out.filter("salts > 1").drop(*values)
+    whole = parts.groupBy(F.col("key").alias("g_key")).agg(F.max("salts").alias("g_salts"), *(value.alias(name) for name, value in values.items()))
+    whole = materialise(whole.filter(keep).withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.col("g_salts") - 1))).drop("g_salts"))
+    apart = parts.join(_small(whole, whole.count()), (F.col("key") == F.col("g_key")) & (F.col("salt") == F.col("g_salt")))
+    return out.filter("salts = 1").unionByName(apart.select(*out.columns))
 
 
 def _can_link(n: str, place: str, m: str, other: str, percent: int) -> Column:
@@ -182,13 +194,15 @@ def _inner(percent: int) -> Column:
     return F.col("place") <= F.col("n") - least(F.col("n"), F.col("n"), percent)
 
 
-def _pairs(rows: DataFrame, hubs: DataFrame, n_hubs: int, percent: int, different: bool) -> DataFrame:
-    """hub, member: each once, either way round; ``hubs``: h_key, hub, h_n, h_place, h_salts, h_component of some rows in ``rows``."""
+def _pairs(rows: DataFrame, hubs: DataFrame, n_hubs: int, percent: int) -> DataFrame:
+    """hub, member of different components: each pair once, either way round; ``hubs``: h_key, hub, h_n, h_place, h_salts, h_component."""
     spread = hubs.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.col("h_salts") - 1)))
     met = rows.join(_small(spread, n_hubs), (F.col("key") == F.col("h_key")) & (F.col("salt") == F.col("h_salt")))
+    return _once(met.filter("h_component <> component"), percent)
+
+
+def _once(met: DataFrame, percent: int) -> DataFrame:
     met = met.filter((F.col("hub") != F.col("doc_id")) & _can_link("h_n", "h_place", "n", "place", percent))
-    if different:
-        met = met.filter("h_component <> component")
     once = met.groupBy(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).agg(F.min("hub").alias("hub"))
     return once.select("hub", F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("member"))
 
@@ -317,31 +331,27 @@ def _links(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
         found = overlaps(chosen, pairs, n, order, k).filter(linked)
         return materialise(found.select(F.col("hub").alias("u"), F.col("member").alias("v")))
 
-    shared = materialise(leading(chosen, order, k, percent))
-    hub = F.min(F.when(_inner(percent), F.struct("place", "doc_id", "n"))).alias("h")
-    hubs = shared.groupBy("key").agg(hub, F.max("salts").alias("h_salts"), F.count(F.lit(1)).alias("times")).filter("h is not null and times > 1")
-    hubs = materialise(hubs.select(F.col("key").alias("h_key"), F.col("h.doc_id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.place").alias("h_place"), "h_salts", "times"))
-    n_hubs = hubs.count()
-    tested = materialise(_pairs(shared, hubs.drop("times"), n_hubs, percent, False))
+    hot = len(order.value.hot) > 0
+    hub = F.min(F.when(_inner(percent), F.struct("place", "doc_id", "n")))
+    shared = with_groups(leading(chosen, order, k, percent), hot, "times > 1 and h is not null", h=hub, times=F.count(F.lit(1)))
+    shared = shared.select("key", "salt", "salts", "doc_id", "n", "place", "times", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.place").alias("h_place"))
+    tested = materialise(_once(shared, percent))
     links = [judged(tested, tested.count())]
 
     # 4.
-    many = hubs.filter("times > 2").select(F.col("h_key").alias("m_key"), "times")
     deal = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) + 1) / (1 << 20)  # in (0, 1]
-    left = materialise(shared.join(_small(many, n_hubs), F.col("key") == F.col("m_key")).drop("m_key").withColumn("deal", deal))
+    left = shared.filter("times > 2").drop("hub", "h_n", "h_place").withColumn("deal", deal)
     columns, now, fresh = left.columns, FIRST_HUBS, True
     while not left.isEmpty():
         if fresh:
             found = components(_union(links))
         labelled = left.join(found, left["doc_id"] == found["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        apart = materialise(apart.filter("low <> high").select(F.col("key").alias("a_key")))
-        inside = materialise(labelled.join(_small(apart, apart.count()), F.col("key") == F.col("a_key")).drop("a_key"))
+        inside = with_groups(labelled, hot, "low <> high", low=F.min("component"), high=F.max("component")).drop("low", "high")
         # Of a group's rows, those dealt up to a share have been hubs, those up to the next share are now.
         share = lambda n: F.lit(float(n)) / F.col("times").cast("double")
         new = inside.filter(_inner(percent) & (F.col("deal") <= share(now)) & (F.lit(now == FIRST_HUBS) | (F.col("deal") > share(now // MORE))))
         new = materialise(new.select(F.col("key").alias("h_key"), F.col("doc_id").alias("hub"), F.col("n").alias("h_n"), F.col("place").alias("h_place"), F.col("salts").alias("h_salts"), F.col("component").alias("h_component")))
-        pairs = _pairs(inside, new, new.count(), percent, True)
+        pairs = _pairs(inside, new, new.count(), percent)
         known = tested.select(F.least("hub", "member").alias("k_u"), F.greatest("hub", "member").alias("k_v"))
         pairs = materialise(pairs.join(known, (F.least("hub", "member") == F.col("k_u")) & (F.greatest("hub", "member") == F.col("k_v")), "left_anti"))
         n_pairs = pairs.count()
