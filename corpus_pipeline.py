@@ -13,11 +13,13 @@ from evenkeel.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 stay, with a model of the labelled rows that op10 learns from; null and empty texts are scored like others."""
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     return toxicity.keep_civil(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal up to white space the row with the smallest id stays; null is empty, of rows with one id one stays."""
     return exact_dedup.keep_first(docs)
 
 
@@ -27,10 +29,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a benchmark item's windows cover a twentieth of the words or more go; texts without words stay."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document; null and empty texts have none."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN)
 
