@@ -77,15 +77,34 @@ class Histogram:
         if self._state is None and not self._pending:
             return self._empty()
         if self._pending:
-            rows = functools.reduce(DataFrame.unionByName, self._pending)
-            if self.controller is not None:
-                rows = self._staged(rows)
-            if self._state is not None:
-                rows = rows.unionByName(self._state)
-            self._state = materialise(group(rows, self.spec, "key", "epoch").sortWithinPartitions("key"))
+            self._state = materialise(self.merged())
             self._pending, self._stand_for, self._gone = [], [], []
         return self._state
 
+    def merged(self) -> DataFrame:
+        """The state with what is pending, not written yet; growth that is due is made."""
+        rows = functools.reduce(DataFrame.unionByName, self._pending)
+        if self.controller is not None:
+            rows = self._staged(rows)
+        if self._state is not None:
+            rows = rows.unionByName(self._state)
+        return group(rows, self.spec, "key", "epoch").sortWithinPartitions("key")
+
+    # State that others keep
+
+    def save(self) -> dict:
+        """What is beside the rows of the state: height, epoch, growth and the controller."""
+        return {"height": self.height, "epoch": self.epoch, "grown": self.grown, "controller": self.controller.save() if self.controller else None}
+
+    def restore(self, state: DataFrame, saved: dict) -> None:
+        """Takes over rows of a state and what ``save`` gave with them; the other parameters must be the same, the secret too."""
+        self._state, self._pending, self._stand_for, self._gone = state, [], [], []
+        self.height, self.epoch, self.grown = saved["height"], saved["epoch"], saved["grown"]
+        if (self.controller is None) != (saved["controller"] is None):
+            raise ValueError("the state was kept with another setting of auto resize")
+        if self.controller:
+            self.controller.restore(saved["controller"])
+
     def _staged(self, rows: DataFrame) -> DataFrame:
         """``rows`` merged, with the epochs that they get if the histogram grows while they come in."""
         merged = rows.groupBy("key").agg(*self.spec.aggregates(), F.min("epoch").alias("epoch"), F.count(F.lit(1)).alias("_updates"))

@@ -399,13 +399,29 @@ def auto_growth_holds_a_frame(spark, sf):
 @query(FLOWS)
 def streamed_flow_record(spark, sf):
     """``events`` as a stream, merged batch by batch into versions of a state."""
+    return shown(_streamed(spark, sf, FLOW, lambda: Histogram(spark, CAPACITY, FLOW, Z, STASH, secret=SECRET, prf="sha")).commit(), "key", *FIELDS)
+
+
+def _streamed(spark, sf, spec, make) -> Histogram:
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     # A pattern, as the table may be one file or a folder of files.
-    stream = flow_columns(spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/events.parque[t]"))
+    stream = flow_columns(spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf.rstrip('/')}/events.parque[t]"))
     state = runner.StateTable(spark, f"{folder}/state")
-    runner.run(stream, FLOW, state, f"{folder}/checkpoint").awaitTermination()
-    return shown(state.read(), "key", *FIELDS)
+    runner.run(stream.select("key", *spec.names), make, state, f"{folder}/checkpoint").awaitTermination()
+    return runner.restored(state, make)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY key) - 1 AS slot, key, packet_count FROM ({FLOWS})")
+def streamed_growth(spark, sf):
+    """A histogram much too small for the stream grows batch by batch; its readout, without the padding, whose length depends on the growth."""
+
+    def make():
+        h = Histogram(spark, 16, counter("packet_count"), 4, STASH, secret=SECRET, prf="sha")
+        h.enable_auto_resize(8, seed=7)
+        return h
+
+    return shown(_streamed(spark, sf, counter("packet_count"), make).readout().filter("is_real"), "slot", "key", "packet_count")
 
 
 @query(f"SELECT * FROM ({CONVERSATIONS}) ORDER BY frames DESC, l_suppkey, l_partkey LIMIT 10")

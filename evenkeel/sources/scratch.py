@@ -44,6 +44,11 @@ def clean(spark: SparkSession) -> int:
     """Deletes the tables that this process has written with ``materialise``; call it when no frame that reads them is needed any more."""
     done = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        done += delete(spark, _written.pop())
     return done
+
+
+def delete(spark: SparkSession, folder: str) -> bool:
+    """Deletes a folder on any file system that Spark can write to; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))

@@ -271,7 +271,7 @@ def test_stream_restart_and_pop(spark, tmp_path):
     def go(rows):
         updates(spark, rows).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("key binary, value bigint").option("maxFilesPerTrigger", 1).parquet(source)
-        q = runner.run(stream, counter(), table, check)
+        q = runner.run(stream, lambda: single(spark), table, check)
         q.awaitTermination(120)
         assert q.exception() is None
         return {r.key.rstrip(b"\0"): r.value for r in table.read().collect()}
@@ -280,6 +280,43 @@ def test_stream_restart_and_pop(spark, tmp_path):
     assert go([("a", 10)]) == {b"a": 14, b"b": 2}
     assert [r.value for r in runner.pop(table, b"a").collect()] == [14]
     assert go([("c", 1)]) == {b"b": 2, b"c": 1}
+    # The versions of the last two batches are left, with both of the batch before the removal's.
+    assert [(e["batch"], e["turn"]) for e in table.entries()] == [(1, 0), (1, 1), (2, 0)]
+    assert len(list((tmp_path / "state").glob("version-*"))) == 3
+
+
+def test_stream_grows_and_replays_the_same(spark, tmp_path):
+    source, state = str(tmp_path / "in"), runner.StateTable(spark, str(tmp_path / "state"), keep=9)
+
+    def make():
+        h = single(spark, capacity=64)
+        h.enable_auto_resize(32, seed=3)
+        return h
+
+    for part in range(3):
+        spark.range(400 * part, 400 * part + 600).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(1).cast("bigint").alias("value")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("key binary, value bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    q = runner.run(stream, make, state, str(tmp_path / "check"))
+    q.awaitTermination(180)
+    assert q.exception() is None
+    h, entries = runner.restored(state, make), state.entries()
+    assert [e["batch"] for e in entries] == [0, 1, 2] and entries[0]["grown"] < entries[2]["grown"] == h.grown
+    out = h.readout()
+    assert out.count() == h.readout_len and out.filter("is_real").agg(F.count(F.lit(1)), F.sum("value")).first() == (1400, 1800)
+    # Batch 2 once more, as after a failure before its entry: the same growth, the same rows.
+    again = runner.restored(state, make, 2)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    again.append(spark.read.parquet(str(files[-1])))
+    rows = lambda frame: sorted((bytes(r.key), r.value, r.epoch) for r in frame.collect())
+    assert rows(again.commit()) == rows(h.commit()) and again.save() == {k: entries[2][k] for k in again.save()}
+
+
+def test_state_of_another_setting_is_refused(spark):
+    h = single(spark)
+    with pytest.raises(ValueError):
+        h.restore(h.commit(), h.save() | {"controller": {}})
+    with pytest.raises(ValueError):
+        runner.StateTable(spark, "x", keep=1)
 
 
 def test_workload(spark):
